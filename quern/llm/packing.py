@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.common import BUCKET_ROWS, gapless, materialise, table
-from quern.llm.tokens import WordEncoder, default_tokenizer
+from quern.llm.tokens import default_tokenizer, encoder
 
 CAPACITY = 4096
 END_ID = 1
@@ -35,7 +35,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     path = tokenizer or default_tokenizer()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end, step = WordEncoder(path), np.array([END_ID], dtype="<u4").tobytes(), 4 * capacity
+        encode, end, step = encoder(path), np.array([END_ID], dtype="<u4").tobytes(), 4 * capacity
         for batch in batches:
             rows = []
             for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):

@@ -8,8 +8,11 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from functools import lru_cache
 
-CACHE_WORDS = 500_000
+import numpy as np
+
+CACHE_WORDS = 1_500_000
 #: Characters of a text that are split into words at a time.
 SEGMENT = 1 << 20
 
@@ -29,30 +32,46 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cache: dict[str, bytes] = {"": b""}
+        vocabulary = self.tokenizer.get_vocab()
+        #: Which ids end a word: with them, the ids of many words encoded at once are told apart.
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
 
     def _encode(self, words: list[str]) -> None:
-        import numpy as np
-
-        for start in range(0, len(words), 5000):
-            part = words[start : start + 5000]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.cache[word] = np.array(e.ids, dtype="<u4").tobytes()
+        """Encode parts of texts one by one."""
+        for word, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
+            self.cache[word] = np.array(e.ids, dtype="<u4").tobytes()
+
+    def _encode_letters(self, words: list[str]) -> None:
+        """Encode words of letters alone, many at once."""
+        for start in range(0, len(words), 2000):
+            part = words[start : start + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(ends) != len(part):  # a tokenizer that does not mark word ends
+                self._encode(part)
+                continue
+            held = ids.tobytes()
+            self.cache.update(zip(part, [held[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
 
     def _learn(self, words: set[str]) -> None:
         if len(self.cache) + len(words) > CACHE_WORDS:
             self.cache = {"": b""}
         cache = self.cache
-        plain, ended = [], []
+        letters, plain, ended = set(), set(), []
         for word in words:
             # A word of letters alone and the mark after it are separate parts for the tokenizer.
-            body = word[:-1]
-            if word[-1] in ",." and body.isalpha():
-                ended.append((word, body.lower() if body.isascii() else body))
+            body = word[:-1] if word[-1] in ",." else word
+            if body.isalpha():
+                body = body.lower() if body.isascii() else body
+                letters.add(body)
+                ended.append((word, body, word[-1:] if word[-1] in ",." else ""))
             else:
-                plain.append(word)
-        self._encode([w for w in {*plain, *(b for _, b in ended), ",", "."} if w not in cache])
-        for word, body in ended:
-            cache[word] = cache[body] + cache[word[-1]]
+                plain.add(word)
+        self._encode([w for w in (*plain, ",", ".") if w not in cache])
+        self._encode_letters([w for w in letters if w not in cache])
+        for word, body, mark in ended:
+            cache[word] = cache[body] + cache[mark]
 
     def _segments(self, text: str) -> Iterator[list[str]]:
         start = 0
@@ -69,8 +88,15 @@ class WordEncoder:
         for words in self._segments(text or ""):
             missing = set(words).difference(self.cache)
             if missing:
+                held = self.cache
                 self._learn(missing)
-                if len(self.cache) == len(missing) + 1 or any(w not in self.cache for w in words):
+                if held is not self.cache:  # it was full and began anew
                     self._learn(set(words).difference(self.cache))
             out.append(b"".join(map(self.cache.__getitem__, words)))
         return b"".join(out)
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> WordEncoder:
+    """The encoder of a Python worker, which keeps its cache from task to task."""
+    return WordEncoder(path)
