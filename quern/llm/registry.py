@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from quern.llm.ball_tree import ORACLE_SQL as BALL_TREE_SQL
+from quern.llm.ball_tree import op9_ball_tree_topk
+from quern.llm.language import op4_language_bitmask
+from quern.llm.lsh import op10_multiprobe_lsh
 from quern.llm.packing import op1_best_fit_packing
 from quern.llm.sharding import op3_jump_sharding
 
@@ -9,9 +13,12 @@ from quern.llm.sharding import op3_jump_sharding
 def queries() -> dict:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
+        "op4_language_bitmask": op4_language_bitmask,
+        "op9_ball_tree_topk": op9_ball_tree_topk,
+        "op10_multiprobe_lsh": op10_multiprobe_lsh,
         "op3_jump_sharding": op3_jump_sharding,
     }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op9_ball_tree_topk": BALL_TREE_SQL}
