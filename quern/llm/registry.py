@@ -7,6 +7,7 @@ from quern.llm.ball_tree import op9_ball_tree_topk
 from quern.llm.language import op4_language_bitmask
 from quern.llm.lsh import op10_multiprobe_lsh
 from quern.llm.packing import op1_best_fit_packing
+from quern.llm.quality import op5_factorisation_machine
 from quern.llm.sharding import op3_jump_sharding
 
 
@@ -14,6 +15,7 @@ def queries() -> dict:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
         "op4_language_bitmask": op4_language_bitmask,
+        "op5_factorisation_machine": op5_factorisation_machine,
         "op9_ball_tree_topk": op9_ball_tree_topk,
         "op10_multiprobe_lsh": op10_multiprobe_lsh,
         "op3_jump_sharding": op3_jump_sharding,
