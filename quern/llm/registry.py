@@ -10,12 +10,15 @@ from quern.llm.packing import op1_best_fit_packing
 from quern.llm.quality import op5_factorisation_machine
 from quern.llm.sharding import op3_jump_sharding
 
+from quern.llm.substring import op8_line_dedup
+
 
 def queries() -> dict:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
         "op4_language_bitmask": op4_language_bitmask,
         "op5_factorisation_machine": op5_factorisation_machine,
+        "op8_line_dedup": op8_line_dedup,
         "op9_ball_tree_topk": op9_ball_tree_topk,
         "op10_multiprobe_lsh": op10_multiprobe_lsh,
         "op3_jump_sharding": op3_jump_sharding,
