@@ -9,6 +9,7 @@ Largest inner product becomes nearest distance on vectors with one more componen
 from __future__ import annotations
 
 import heapq
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -21,8 +22,8 @@ from quern.llm.vectors import best, dealt, matrix, usable
 
 TABLES, FUNCTIONS, WIDTH, PROBES = 4, 8, 2.5, 160
 K, QUERY_STEP, SEED = 20, 20, 20240229
-#: Vectors of a part of a table, and visits of queries to it.
-PART_ROWS, PART_VISITS = 16384, 100_000
+#: Vectors of a part of a table, visits of queries to it, and queries scored at a time.
+PART_ROWS, PART_VISITS, CHUNK = 16384, 100_000, 128
 
 
 class Hashes:
@@ -53,37 +54,50 @@ def bucket(cells: np.ndarray) -> np.ndarray:
     return (out >> np.uint64(1)).astype(np.int64)
 
 
-def probes(place: np.ndarray, count: int) -> np.ndarray:
-    """The cells of the first `count` buckets for a query at `place`, the likeliest first."""
-    cell = np.floor(place)
-    low = place - cell
-    steps = sorted([(x * x, j, -1) for j, x in enumerate(low)] + [((1 - x) ** 2, j, 1) for j, x in enumerate(low)])
-    cost, out, sets = [s[0] for s in steps], [cell], [(steps[0][0], (0,))]
+@lru_cache
+def sequence(functions: int, count: int) -> np.ndarray:
+    """The first `count` sets of steps in the order of their expected cost, as rows of 0 and 1 over the steps.
+
+    Steps are the 2 x `functions` moves of a query to a neighbouring cell, the nearest boundary first; positions j and
+    2 x `functions` - 1 - j are the two moves of one function, of which a set has one at most.
+    """
+    m = functions
+    up = [(j * (j + 1)) / (4 * (m + 1) * (m + 2)) for j in range(1, m + 1)]
+    down = [1 - (2 * m + 1 - j) / (m + 1) + (2 * m + 1 - j) * (2 * m + 2 - j) / (4 * (m + 1) * (m + 2)) for j in range(m + 1, 2 * m + 1)]
+    cost = up + down
+    sets, out = [(cost[0], (0,))], [()]
     while sets and len(out) < count:
         total, chosen = heapq.heappop(sets)
-        if len({steps[i][1] for i in chosen}) == len(chosen):
-            moved = cell.copy()
-            for i in chosen:
-                moved[steps[i][1]] += steps[i][2]
-            out.append(moved)
+        if not any(2 * m - 1 - j in chosen for j in chosen):
+            out.append(chosen)
         last = chosen[-1]
-        if last + 1 < len(steps):
+        if last + 1 < 2 * m:
             heapq.heappush(sets, (total - cost[last] + cost[last + 1], (*chosen[:-1], last + 1)))
             heapq.heappush(sets, (total + cost[last + 1], (*chosen, last + 1)))
-    return np.array(out)
+    return np.array([[j in chosen for j in range(2 * m)] for chosen in out], dtype=np.float64)
+
+
+def probes(places: np.ndarray, count: int) -> np.ndarray:
+    """The numbers of the first `count` buckets for each query, the likeliest first: (query, probe)."""
+    cells = np.floor(places)
+    low = places - cells
+    n, m = places.shape
+    order = np.argsort(np.hstack([low, 1 - low]), axis=1, kind="stable")
+    moves = np.zeros((n, 2 * m, m))
+    np.put_along_axis(moves, (order % m)[:, :, None], np.where(order < m, -1.0, 1.0)[:, :, None], axis=2)
+    visited = cells[:, None, :] + sequence(m, count) @ moves
+    return bucket(visited.reshape(-1, m)).reshape(n, -1)
 
 
-def nearest(q: np.ndarray, own: int, points: np.ndarray, ids: np.ndarray, rough: np.ndarray, k: int) -> list[tuple[int, int, float]]:
-    """The k best of the points by exact inner product; `rough` has it up to rounding."""
-    ok = ids != own
-    ids, points, rough = ids[ok], points[ok], rough[ok]
-    if len(ids) > k:
-        kth = np.partition(rough, len(rough) - k)[len(rough) - k]
-        close = rough >= kth - 1e-9 * (1 + abs(kth))
-        ids, points = ids[close], points[close]
-    score = (points * q).sum(axis=1)
-    order = np.lexsort((ids, -score))[:k]
-    return [(own, int(ids[i]), float(score[i])) for i in order]
+def nearest(q: np.ndarray, own: int, points: np.ndarray, ids: np.ndarray, rough: np.ndarray, floor: float, k: int) -> list[tuple[int, int, float]]:
+    """The k best by exact inner product of the points that reach the floor; `rough` has it up to rounding."""
+    at = np.flatnonzero((rough >= floor - 1e-9 * (1 + abs(floor)) if np.isfinite(floor) else rough > -np.inf) & (ids != own))
+    if len(at) > k:
+        kth = np.partition(rough[at], len(at) - k)[len(at) - k]
+        at = at[rough[at] >= kth - 1e-9 * (1 + abs(kth))]
+    score = (points[at] * q).sum(axis=1)
+    order = np.lexsort((ids[at], -score))[:k]
+    return [(own, int(ids[at[i]]), float(score[i])) for i in order]
 
 
 FOUND = "query_id long, vec_id long, score double"
@@ -118,32 +132,42 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, count: int = PROB
                     b = bucket(np.floor(place))
                     yield pd.DataFrame({"tab": t, "part": b % parts, "bucket": b, "vec_id": batch["vec_id"], "embedding": batch["embedding"]})
 
-    def visits(batches):
-        for batch in batches:
-            if len(batch):
-                v = matrix(batch["embedding"], width)
-                for t, places in enumerate(hashes.at(v, query=True)):
-                    for own, vector, place in zip(batch["query_id"], batch["embedding"], places, strict=True):
-                        b = bucket(probes(place, count))
-                        for part in np.unique(b % parts):
-                            yield pd.DataFrame({"tab": [t], "part": [part], "buckets": [b[b % parts == part]], "query_id": [own], "embedding": [vector]})
+    def visits(tables: range):
+        def visit(batches):
+            for batch in batches:
+                for start in range(0, len(batch), 1000):
+                    some = batch.iloc[start : start + 1000]
+                    places = hashes.at(matrix(some["embedding"], width), query=True)
+                    for t in tables:
+                        b = probes(places[t], count)
+                        group = np.arange(len(some))[:, None] * parts + b % parts
+                        order = np.argsort(group, axis=None, kind="stable")
+                        groups, first = np.unique(group.ravel()[order], return_index=True)
+                        asks = some.iloc[groups // parts]
+                        yield pd.DataFrame({"tab": t, "part": groups % parts, "buckets": np.split(b.ravel()[order], first[1:]), "query_id": asks["query_id"].to_numpy(), "least": asks["least"].to_numpy(), "embedding": asks["embedding"].to_numpy()})
+
+        return visit
 
     def rank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return _frame([])
         left = left.sort_values("bucket", kind="stable")
         ids, members = left["vec_id"].to_numpy(), matrix(left["embedding"], width)
-        names, starts = np.unique(left["bucket"].to_numpy(), return_index=True)
-        ends = np.append(starts[1:], len(ids))
+        names, inverse = np.unique(left["bucket"].to_numpy(), return_inverse=True)
         found: list[tuple[int, int, float]] = []
-        for own, vector, wanted in zip(right["query_id"], right["embedding"], right["buckets"], strict=True):
-            at = np.searchsorted(names, wanted)
-            at = at[(at < len(names)) & (names[np.minimum(at, len(names) - 1)] == wanted)]
-            if len(at):
-                q = matrix([vector], width)[0]
-                rows = np.concatenate([np.arange(starts[i], ends[i]) for i in at])
-                held = members[rows]
-                found += nearest(q, own, held, ids[rows], held @ q, k)
+        for start in range(0, len(right), CHUNK):
+            some = right.iloc[start : start + CHUNK]
+            hit = np.zeros((len(some), len(names)), dtype=bool)
+            for i, wanted in enumerate(some["buckets"]):
+                at = np.searchsorted(names, wanted)
+                hit[i, at[(at < len(names)) & (names[np.minimum(at, len(names) - 1)] == wanted)]] = True
+            # The buckets that any of these queries visits are scored in one product; each query sees its own.
+            rows = np.flatnonzero(hit.any(axis=0)[inverse])
+            if len(rows):
+                asks, held, of = matrix(some["embedding"], width), members[rows], ids[rows]
+                rough = np.where(hit[:, inverse[rows]], asks @ held.T, -np.inf)
+                for own, q, floor, scores in zip(some["query_id"], asks, some["least"], rough, strict=True):
+                    found += nearest(q, own, held, of, scores, floor, k)
         return _frame(found)
 
     def scan(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -151,16 +175,26 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, count: int = PROB
             return _frame([])
         ids, members = left["vec_id"].to_numpy(), matrix(left["embedding"], width)
         asks = matrix(right["embedding"], width)
-        return _frame([x for own, q in zip(right["query_id"], asks, strict=True) for x in nearest(q, own, members, ids, members @ q, k)])
+        return _frame([x for own, q in zip(right["query_id"], asks, strict=True) for x in nearest(q, own, members, ids, members @ q, -np.inf, k)])
 
     table_of = materialise(points.mapInPandas(index, "tab int, part long, bucket long, vec_id long, embedding array<double>"))
     sizes = table_of.groupBy("tab", "part").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("int").alias("salts"))
-    members = table_of.join(sizes, ["tab", "part"]).withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.col("salts")).cast("int")).drop("salts")
-    asks = asked.mapInPandas(visits, "tab int, part long, buckets array<long>, query_id long, embedding array<double>")
-    asks = asks.join(sizes, ["tab", "part"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
     keys = ["tab", "part", "salt"]
-    found = members.groupBy(*keys).cogroup(asks.groupBy(*keys)).applyInPandas(rank, FOUND)
-    found = materialise(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")))
+
+    def meet(asks: DataFrame, tables: range) -> DataFrame:
+        """The k best of each query in the given tables, of those that reach its floor `least`."""
+        mine = table_of.where(F.col("tab").between(tables[0], tables[-1])).join(sizes, ["tab", "part"])
+        mine = mine.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.col("salts")).cast("int")).drop("salts")
+        asks = asks.select("query_id", "least", "embedding").mapInPandas(visits(tables), "tab int, part long, buckets array<long>, query_id long, least double, embedding array<double>")
+        asks = asks.join(sizes, ["tab", "part"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+        found = mine.groupBy(*keys).cogroup(asks.groupBy(*keys)).applyInPandas(rank, FOUND)
+        return materialise(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")))
+
+    found = meet(asked.withColumn("least", F.lit(float("-inf"))), range(1))
+    # The kth score of the first table is the floor of the others.
+    kth = best(found, k, "score").groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("least"))
+    floors = asked.join(kth, "query_id", "left").fillna(float("-inf"), ["least"])
+    found = found.unionByName(meet(floors, range(1, TABLES))).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     enough = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
     short = asked.join(enough, "query_id", "left_anti")
     lacking = short.count()
