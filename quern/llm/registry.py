@@ -6,16 +6,17 @@ from quern.llm.ball_tree import ORACLE_SQL as BALL_TREE_SQL
 from quern.llm.ball_tree import op9_ball_tree_topk
 from quern.llm.language import op4_language_bitmask
 from quern.llm.lsh import op10_multiprobe_lsh
+from quern.llm.near_dedup import op2_prob_minhash
 from quern.llm.packing import op1_best_fit_packing
 from quern.llm.quality import op5_factorisation_machine
 from quern.llm.sharding import op3_jump_sharding
-
 from quern.llm.substring import op8_line_dedup
 
 
 def queries() -> dict:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
+        "op2_prob_minhash": op2_prob_minhash,
         "op4_language_bitmask": op4_language_bitmask,
         "op5_factorisation_machine": op5_factorisation_machine,
         "op8_line_dedup": op8_line_dedup,
