@@ -8,20 +8,22 @@ documents; the rates themselves stay on the executors.
 
 from __future__ import annotations
 
+import json
 import math
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.llm.common import materialise, table
 
-#: Buckets of hashed words, then RANGES ranges for each of two statistics: capitals and symbols among the characters.
-WORDS, RANGES = 4096, 10
-INPUTS = WORDS + 2 * RANGES
+#: Most words of each domain's lexicon, how many times likelier than anywhere they must be, and the part of the
+#: domain's documents that must have them; RANGES ranges for each statistic.
+LEXICON, LIFT, SUPPORT, RANGES = 64, 4.0, 0.01, 10
 #: Most labelled documents that are fitted: those whose ids hash lowest.
 FIT_ROWS = 20_000
-#: Posteriors are softened by this power; naive Bayes is too sure of itself on long texts.
-TEMPERATURE = 4.0
+#: Posteriors are softened by this power.
+TEMPERATURE = 1.0
 STEPS, TOLERANCE, WRITE_EVERY = 60, 1e-4, 10
 TARGETS = {"good": 0.90, "poor": 0.08, "toxic": 0.02}
 _CAPITALS, _SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "!$%&#*|"
@@ -31,52 +33,77 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[\s.,;:!?]+"), lambda w: w != "")
 
 
-def _inputs(text: Column, words: Column) -> Column:
-    """The inputs of a text, one for each word and two for its statistics."""
+def _ranges(text: Column, words: Column, lexicons: list[list[str]]) -> list[Column]:
+    """In which range each statistic of a text is: the part of capitals and that of symbols among its characters, and
+    how many words of each lexicon it has."""
     share = lambda chars: (F.length(text) - F.length(F.translate(text, chars, ""))) / F.greatest(F.length(text), F.lit(1))
-    bin_of = lambda chars, k: (F.least(F.floor(share(chars) * 2 * RANGES), F.lit(RANGES - 1)) + WORDS + k * RANGES).cast("int")
-    return F.concat(F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(WORDS)).cast("int")), F.array(bin_of(_CAPITALS, 0), bin_of(_SYMBOLS, 1)))
+    found = [F.floor(share(chars) * 2 * RANGES) for chars in (_CAPITALS, _SYMBOLS)]
+    found += [F.size(F.array_intersect(words, _literal(lexicon, "array<string>"))) for lexicon in lexicons]
+    return [F.least(x, F.lit(RANGES - 1)).cast("int") for x in found]
 
 
-def learn(labelled: DataFrame, domains: list[str], most: int = FIT_ROWS) -> tuple[list[float], dict[str, list[float]]]:
-    """Log priors and log likelihoods of the inputs, fitted on at most `most` rows of (doc_id, text, domain).
+@dataclass
+class DomainModel:
+    """A log prior of each domain, its lexicon, and the log likelihood of each range of each statistic in it."""
 
-    Rows of other domains or null texts teach nothing; without rows all are alike. What reaches the driver is a row
-    for each domain and input at most.
+    domains: list[str]
+    prior: list[float]
+    lexicons: list[list[str]]
+    ranges: list[list[list[float]]]
+
+
+def learn(labelled: DataFrame, domains: list[str], most: int = FIT_ROWS) -> DomainModel:
+    """Fit naive Bayes on at most `most` rows of (doc_id, text, domain).
+
+    Its inputs are statistics of the characters and the number of words of each domain's lexicon, the words that tell
+    it best from the others. Rows of other domains or null texts teach nothing, copies of a text count once; without
+    rows all are alike. What reaches the driver are the lexicons and the counts of the ranges.
     """
     rows = labelled.where(F.col("domain").isin(domains) & F.col("text").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id", "domain").limit(most)
-    rows = rows.select("domain", F.explode(F.concat(_inputs(F.col("text"), _words(F.col("text"))), F.array(F.lit(-1)))).alias("input"))
-    counts = {(r["domain"], r["input"]): r["n"] for r in rows.groupBy("domain", "input").agg(F.count(F.lit(1)).alias("n")).collect()}
-    documents = {d: counts.pop((d, -1), 0) for d in domains}
-    prior = [math.log((documents[d] + 1) / (sum(documents.values()) + len(domains))) for d in domains]
-    likelihood = {}
-    for d in domains:
-        n = [counts.get((d, i), 0) for i in range(INPUTS)]
-        words, stats = sum(n[:WORDS]) + WORDS, documents[d] + RANGES
-        likelihood[d] = [math.log((c + 1) / (words if i < WORDS else stats)) for i, c in enumerate(n)]
-    return prior, likelihood
-
-
-def posteriors(docs: DataFrame, domains: list[str], model: tuple[list[float], dict[str, list[float]]]) -> DataFrame:
+    rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy(F.xxhash64("text")).orderBy("doc_id"))).where("copy = 1")
+    rows = materialise(rows.select("domain", "text", F.array_distinct(_words(F.col("text"))).alias("words")))
+    n = {r["domain"]: r["count"] for r in rows.groupBy("domain").count().collect()}
+    n = [n.get(d, 0) for d in domains]
+    total = max(sum(n), 1)
+    counts = [F.count(F.when(F.col("domain") == d, 1)).alias(f"n{k}") for k, d in enumerate(domains)]
+    held = materialise(rows.select("domain", F.explode("words").alias("word")).groupBy("word").agg(*counts, F.count(F.lit(1)).alias("n")).where("n > 2"))
+    lexicons = []
+    for k in range(len(domains)):
+        # Pointwise information on the domain, of words LIFT times likelier in it than anywhere.
+        mine = F.col(f"n{k}")
+        lift = mine / max(n[k], 1) / (F.col("n") / total)
+        best = held.where((lift >= LIFT) & (mine >= SUPPORT * n[k])).orderBy(F.desc(mine * F.log(lift)), "word").limit(LEXICON)
+        lexicons.append([r["word"] for r in best.collect()])
+    found = rows.select("domain", F.posexplode(F.array(*_ranges(F.col("text"), F.col("words"), lexicons))).alias("k", "i"))
+    seen = {(r["domain"], r["k"], r["i"]): r["count"] for r in found.groupBy("domain", "k", "i").count().collect()}
+    ranges = [
+        [[math.log((seen.get((d, k, i), 0) + 0.5) / (n[j] + 0.5 * RANGES)) for j, d in enumerate(domains)] for i in range(RANGES)]
+        for k in range(2 + len(domains))
+    ]
+    return DomainModel(domains, [math.log((x + 1) / (sum(n) + len(n))) for x in n], lexicons, ranges)
+
+
+def _literal(values: list, kind: str) -> Column:
+    return F.from_json(F.lit(json.dumps(values)), kind)
+
+
+def posteriors(docs: DataFrame, model: DomainModel) -> DataFrame:
     """Add `tokens`, the number of words, and `posterior`, an array over the domains, from the whole text of each row.
 
     A null or empty text has no tokens and the prior as posterior.
     """
-    prior, likelihood = model
     text = F.coalesce(F.col("text"), F.lit(""))
-    # An input's row of the table has its log likelihoods in all domains, one after another.
-    flat = [likelihood[d][i] for i in range(INPUTS) for d in domains]
-    weights = F.from_json(F.lit("[" + ",".join(f"{v:.6f}" for v in flat) + "]"), "array<double>")
-    names = [f"s{k}" for k in range(len(domains))]
-    start = F.struct(*(F.lit(p).alias(n) for p, n in zip(prior, names, strict=True)))
-    add = lambda s, i: F.struct(*((s[n] + F.get(weights, i * len(domains) + k)).alias(n) for k, n in enumerate(names)))
-    docs = docs.withColumn("__words", _words(text))
-    docs = docs.withColumn("tokens", F.size("__words").cast("long")).withColumn("__in", _inputs(text, F.col("__words")))
-    score = F.when(F.col("tokens") > 0, F.aggregate("__in", start, add)).otherwise(start)
-    docs = docs.withColumn("__score", score)
-    powers = [F.exp((F.col(f"__score.{n}") - F.greatest(*(F.col(f"__score.{m}") for m in names))) / TEMPERATURE) for n in names]
+    docs = docs.withColumn("__words", _words(text)).withColumn("tokens", F.size("__words").cast("long"))
+    at = [f"__r{k}" for k in range(len(model.ranges))]
+    docs = docs.withColumns(dict(zip(at, _ranges(text, F.col("__words"), model.lexicons), strict=True)))
+    said = [F.get(_literal(r, "array<array<double>>"), F.col(c)) for r, c in zip(model.ranges, at, strict=True)]
+    names = [f"__s{k}" for k in range(len(model.domains))]
+    for k, name in enumerate(names):
+        score = sum((F.get(s, k) for s in said), F.lit(model.prior[k]))
+        docs = docs.withColumn(name, F.when(F.col("tokens") > 0, score).otherwise(F.lit(model.prior[k])))
+    powers = [F.exp((F.col(n) - F.greatest(*names)) / TEMPERATURE) for n in names]
     total = sum(powers[1:], powers[0])
-    return docs.withColumn("posterior", F.array(*(p / total for p in powers))).drop("__words", "__in", "__score")
+    return docs.withColumn("posterior", F.array(*(p / total for p in powers))).drop("__words", *at, *names)
 
 
 def fit_rates(rows: DataFrame, targets: list[float]) -> tuple[DataFrame, list[float]]:
@@ -115,7 +142,7 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget:
     few = labelled.where(F.col("domain").isin(domains)).groupBy("doc_id").agg(F.max("domain").alias("domain"))
     few = few.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     model = learn(docs.select("doc_id", "text").join(F.broadcast(few), "doc_id"), domains, most)  # `most` rows at most
-    rows = materialise(posteriors(docs, domains, model))
+    rows = materialise(posteriors(docs, model))
     have = rows.agg(F.sum("tokens").alias("all"), *(F.sum(F.col("tokens") * F.col("posterior")[d]).alias(f"d{d}") for d in range(len(domains)))).first()
     share = sum(targets.values())
     if isinstance(budget, str):
