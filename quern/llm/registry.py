@@ -2,29 +2,31 @@
 
 from __future__ import annotations
 
-from quern.llm.ball_tree import ORACLE_SQL as BALL_TREE_SQL
-from quern.llm.ball_tree import op9_ball_tree_topk
-from quern.llm.language import op4_language_bitmask
-from quern.llm.lsh import op10_multiprobe_lsh
-from quern.llm.near_dedup import op2_prob_minhash
-from quern.llm.packing import op1_best_fit_packing
-from quern.llm.quality import op5_factorisation_machine
-from quern.llm.sharding import op3_jump_sharding
-from quern.llm.substring import op8_line_dedup
+import importlib
+
+#: Query name and the module of this subpackage that has it.
+QUERIES = {
+    "op1_best_fit_packing": "packing",
+    "op2_prob_minhash": "near_dedup",
+    "op3_jump_sharding": "sharding",
+    "op4_language_bitmask": "language",
+    "op5_factorisation_machine": "quality",
+    "op6_soft_mixing": "mixing",
+    "op7_warc_revisits": "warc",
+    "op8_line_dedup": "substring",
+    "op9_ball_tree_topk": "ball_tree",
+    "op10_multiprobe_lsh": "lsh",
+}
 
 
 def queries() -> dict:
-    return {
-        "op1_best_fit_packing": op1_best_fit_packing,
-        "op2_prob_minhash": op2_prob_minhash,
-        "op4_language_bitmask": op4_language_bitmask,
-        "op5_factorisation_machine": op5_factorisation_machine,
-        "op8_line_dedup": op8_line_dedup,
-        "op9_ball_tree_topk": op9_ball_tree_topk,
-        "op10_multiprobe_lsh": op10_multiprobe_lsh,
-        "op3_jump_sharding": op3_jump_sharding,
-    }
+    import corpus_pipeline
+
+    found = {name: getattr(importlib.import_module(f"quern.llm.{module}"), name) for name, module in QUERIES.items()}
+    return found | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
-    return {"op9_ball_tree_topk": BALL_TREE_SQL}
+    from quern.llm import ball_tree, warc
+
+    return {"op7_warc_revisits": warc.ORACLE_SQL, "op9_ball_tree_topk": ball_tree.ORACLE_SQL}
