@@ -22,7 +22,7 @@ def components(links: DataFrame) -> DataFrame:
         near = materialise(labels.join(near, "node").select("node", "label", F.least("label", "near").alias("to")))
         jump = near.select(F.col("node").alias("to"), F.col("to").alias("further"))
         moved = materialise(near.join(jump, "to", "left").select("node", "label", F.least("to", F.coalesce("further", "to")).alias("new")))
-        changed = moved.where("label <> new").limit(1).count()
+        changed = not moved.where("label <> new").isEmpty()
         release(spark, near)
         labels = moved.select("node", F.col("new").alias("label"))
         if not changed:

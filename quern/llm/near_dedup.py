@@ -5,11 +5,13 @@ registers at random; a register keeps the shingle that arrives first. Arrivals c
 shingle is left as soon as it is later than all registers of its document. Two registers agree with the probability
 Jaccard similarity of the weighted shingles. Bands of registers give candidate buckets.
 
-In a bucket, members are compared with leaders, not with each other. Members that are linked to a leader need no
-further comparison there; the others choose leaders among themselves, twice as many in each round. As 1 - similarity
-is a metric, a member less similar to a leader than 1 - 2 (1 - threshold) has no link to those that are linked to it;
-those between are compared with them if they are not in one class already. So no link of a bucket that would join
-two classes is lost, and no bucket is capped or expanded into pairs.
+In a bucket, members are compared with a leader, not with each other, and classes are joined over the links found
+before the next round. A bucket whose members are one class is done; in the others more members lead, four times as
+many in each round, those of the smallest classes first, each compared with all members of other classes and then
+done. Left out are only comparisons that cannot give a link: shingles that only texts of one class have are missing
+from every partner in another, and with their number two texts' similarity has an upper bound. So every two members of a
+bucket are compared, out of reach or in one class at the end: no link that would join two classes is lost, and no
+bucket is capped.
 """
 
 from __future__ import annotations
@@ -20,12 +22,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.llm.common import materialise, table
 from quern.llm.components import components
-from quern.llm.text import blocks, fold, mix, shingles, span_hashes, words
+from quern.llm.text import batches, blocks, fold, mix, shingles, span_hashes, words
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, BAND_ROWS = 16, 4
@@ -94,15 +96,15 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return max(plain, float((x / totals[inverse]).sum()))
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+def _sign(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in found:
         texts = batch["text"].to_pylist()
-        row, shingle, weight, digests = weighted_shingles(texts)
-        got, some = bands(signatures(row, shingle, weight, len(texts))), np.bincount(row, minlength=len(texts)) > 0
-        yield pa.RecordBatch.from_arrays(
-            [batch["doc"], batch["raw"], pa.array(digests.view(np.int64)), pa.array([list(b) if s else [] for b, s in zip(got.tolist(), some, strict=True)], pa.list_(pa.int64()))],
-            ["doc", "raw", "t", "bands"],
-        )
+        for start, end in batches(texts):
+            row, shingle, weight, digests = weighted_shingles(texts[start:end])
+            got, some = bands(signatures(row, shingle, weight, end - start)), np.bincount(row, minlength=end - start) > 0
+            of_texts = pa.array([list(b) if s else [] for b, s in zip(got.tolist(), some, strict=True)], pa.list_(pa.int64()))
+            columns = [batch["doc"][start:end], batch["raw"][start:end], pa.array(digests.view(np.int64)), of_texts]
+            yield pa.RecordBatch.from_arrays(columns, ["doc", "raw", "t", "bands"])
 
 
 def _similar(left: pd.Series, right: pd.Series) -> pd.Series:
@@ -127,6 +129,49 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return materialise(left.join(right, "b").select("a", "b", F.pandas_udf(_similar, "double")("one", "two").alias("sim")))
 
 
+def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Labels (t, label) after more links (a, b): components of the classes that the links join."""
+    if labels is None:
+        return components(links).select(F.col("node").alias("t"), "label")
+    of = lambda c: labels.select(F.col("t").alias(c), F.col("label").alias(f"of_{c}"))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    moved = components(between).select(F.col("node").alias("label"), F.col("label").alias("to"))
+    old = labels.join(moved, "label", "left").select("t", F.coalesce("to", "label").alias("label"))
+    new = moved.join(labels.select(F.col("t").alias("label")), "label", "left_anti").select(F.col("label").alias("t"), F.col("to").alias("label"))
+    return materialise(old.unionByName(new))
+
+
+def _explode(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in found:
+        texts, names = batch["text"].to_pylist(), np.array(batch["t"].to_pylist(), dtype=np.int64)
+        for start, end in batches(texts):
+            row, shingle, weight, _ = weighted_shingles(texts[start:end])
+            yield pa.RecordBatch.from_arrays([pa.array(names[start:end][row]), pa.array(shingle.view(np.int64)), pa.array(weight)], ["t", "shingle", "weight"])
+
+
+def _own(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """(t, own) of the texts (t, label): own has n, the distinct shingles, how many of them are mine, in no text of
+    another class, their share of the weight, and whether all weights are 1, flat. `rows` are a written table."""
+    rows = rows.join(labels, "t")
+    alone = rows.groupBy("shingle").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least = most").select("shingle")
+    mine = rows.join(alone, "shingle").groupBy("t").agg(F.count(F.lit(1)).alias("mine"), F.sum("weight").alias("part"))
+    whole = rows.groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("all"), (F.max("weight") == 1).alias("flat"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return whole.join(mine, "t", "left").select("t", F.struct("n", zero("mine"), (F.coalesce("part", F.lit(0.0)) / F.col("all")).alias("share"), "flat").alias("own"))
+
+
+def _reach(a: str, b: str) -> Column:
+    """An upper bound of the similarity of two texts, from `_own` as structs. Of the shingles of one at most those that
+    are not its own are in the other. With p and q what is left of the weights, the probability Jaccard similarity is at
+    most p q / (1 - (1 - p) (1 - q)): of each shared shingle it adds a concave function of its two weights that is
+    homogeneous, so all of them add at most that function of the sums."""
+    of = lambda x, c: F.col(f"{x}.{c}")
+    common = F.least(of(a, "n") - of(a, "mine"), of(b, "n") - of(b, "mine"))
+    plain = common / (of(a, "n") + of(b, "n") - common)
+    weighted = (1 - of(a, "share")) * (1 - of(b, "share")) / F.greatest(1 - of(a, "share") * of(b, "share"), F.lit(1e-12))
+    return F.when(of(a, "flat") & of(b, "flat"), plain).otherwise(F.greatest(plain, weighted))
+
+
 def _rows(docs: DataFrame, *columns: str) -> DataFrame:
     """Rows with keys that are never null: doc for the id, raw for the text."""
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("raw"), *columns)
@@ -138,44 +183,49 @@ def _labelled(docs: DataFrame, threshold: float) -> DataFrame:
     texts = signed.groupBy("t").agg(F.min("doc").alias("doc"), F.min_by("raw", "doc").alias("raw"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
     texts = materialise(texts)
     buckets = texts.select("t", F.explode("bands").alias("key"))
-    shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    active = materialise(buckets.join(shared, "key").select("key", "t"))
+    shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    active = materialise(buckets.join(shared, "key").select("key", "t", "n"))
+    size = active.groupBy("t").agg(F.sum("n").alias("size"))
+    active = materialise(active.join(size, "t").select("key", "t", "size"))
     wanted = active.select("t").distinct().join(texts.select("t", "doc", "raw"), "t")
     bodies = materialise(_rows(docs, "text").join(wanted, ["doc", "raw"]).select("t", "text").dropDuplicates(["t"]))
 
-    near, compared, count = None, None, 1
+    labels, compared, exploded, count = None, None, None, 1
     while True:
-        part = F.pmod(F.xxhash64("t", F.lit(count)), F.lit(count))
-        leaders = materialise(active.groupBy("key", part.alias("part")).agg(F.min("t").alias("l")).select("key", "l"))
-        meet = active.join(leaders, "key").where("t <> l").select("key", "t", "l", F.least("t", "l").alias("a"), F.greatest("t", "l").alias("b"))
-        meet = materialise(meet)
-        pairs = meet.select("a", "b").distinct()
+        now = F.col("t").alias("label") if labels is None else F.coalesce("label", "t").alias("label")
+        current = (active if labels is None else active.join(labels, "t", "left")).select("key", "t", "size", now)
+        classes_of = current.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+        mixed = classes_of.groupBy("key").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1").select("key")
+        current = materialise(current.join(mixed, "key"))
+        if current.isEmpty():
+            break
+        part = F.pmod(F.xxhash64("t", F.lit(count)), F.lit(count)).alias("part")
+        # The first leader is the member in the largest buckets: the middle of a group of copies.
+        first = F.max_by(F.struct("t", "label"), F.struct("size", "t")) if count == 1 else F.min_by(F.struct("t", "label"), F.struct("n", "t"))
+        ranked = current if count == 1 else current.join(classes_of, ["key", "label"])
+        leaders = materialise(ranked.groupBy("key", part).agg(first.alias("l")).select("key", F.col("l.t").alias("l"), F.col("l.label").alias("its")))
+        near = F.lit(True)
+        members, leading = current, leaders
+        if count == 4:
+            exploded = materialise(bodies.join(current.select("t").distinct(), "t", "left_semi").mapInArrow(_explode, "t long, shingle long, weight double"))
+        if count > 1:
+            own = materialise(_own(exploded, current.select("t", "label").distinct()))
+            members = current.join(own, "t")
+            leading = leaders.join(own.select(F.col("t").alias("l"), F.col("own").alias("theirs")), "l")
+            near = _reach("own", "theirs") >= threshold - 1e-9
+        meet = members.join(leading, (members["key"] == leading["key"]) & (F.col("label") != F.col("its")) & near)
+        meet = meet.select(F.least("t", "l").alias("a"), F.greatest("t", "l").alias("b"))
+        pairs = meet.distinct()
         sims = _verified(materialise(pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti")), bodies)
         compared = sims if compared is None else compared.unionByName(sims)
-        status = materialise(meet.join(compared, ["a", "b"]).where(F.col("sim") >= 2 * threshold - 1).select("key", "t", "l", "sim"))
-        near = status if near is None else near.unionByName(status)
-        settled = status.where(F.col("sim") >= threshold).select("key", "t").unionByName(leaders.select("key", F.col("l").alias("t")))
-        left = materialise(active.join(settled.distinct(), ["key", "t"], "left_anti"))
-        several = left.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-        active = materialise(left.join(several, "key").select("key", "t"))
-        if not active.limit(1).count():
-            break
-        count *= 2
-    links = compared.where(F.col("sim") >= threshold).select("a", "b")
-    labels = components(links)
-    # Those between: compared with what is linked to their leader, where that is another class.
-    of = lambda c, name: labels.select(F.col("node").alias(c), F.col("label").alias(name))
-    between = near.where(F.col("sim") < threshold).join(of("t", "mine"), "t", "left").join(of("l", "its"), "l", "left")
-    between = materialise(between.where(F.coalesce("mine", "t") != F.coalesce("its", "l")).select("key", "l", "t"))
-    members = materialise(near.where(F.col("sim") >= threshold).select("key", "l", F.col("t").alias("x")))
-    across = between.join(members, ["key", "l"]).where("t <> x").select(F.least("t", "x").alias("a"), F.greatest("t", "x").alias("b"))
-    across = materialise(across.distinct().join(compared, ["a", "b"], "left_anti"))
-    if across.limit(1).count():
-        links = links.unionByName(_verified(across, bodies).where(F.col("sim") >= threshold).select("a", "b"))
-        labels = components(links)
+        labels = _joined(labels, sims.where(F.col("sim") >= threshold).select("a", "b"))
+        active = materialise(current.select("key", "t", "size").join(leaders.select("key", F.col("l").alias("t")), ["key", "t"], "left_anti"))
+        count *= 4
+    if labels is None:
+        labels = texts.select("t", F.col("t").alias("label")).limit(0)
 
     label = F.coalesce("label", "t").alias("label")
-    named = texts.select("t", "doc", "copies").join(labels.withColumnRenamed("node", "t"), "t", "left").select("t", "doc", "copies", label)
+    named = texts.select("t", "doc", "copies").join(labels, "t", "left").select("t", "doc", "copies", label)
     named = materialise(named)
     first = named.groupBy("label").agg(F.min("doc").alias("class"), F.sum("copies").alias("n")).where("n > 1").select("label", "class")
     of_text = materialise(named.join(materialise(first), "label").select("t", "label", "class"))
