@@ -9,7 +9,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Characters handled at a time; a longer text is taken in parts that end at white space.
-BLOCK = 2_000_000
+BLOCK = 500_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15
 _SPACE = re.compile(r"\s")
@@ -52,6 +52,19 @@ def blocks(texts: Sequence[str | None], cut: re.Pattern = _SPACE) -> Iterator[tu
         yield parts, np.array(rows), np.array(offsets)
 
 
+def batches(texts: Sequence[str | None], rows: int = 1000, chars: int = 1_000_000) -> Iterator[tuple[int, int]]:
+    """Slices (start, end) of the texts, of a bounded number of texts and, but for single long ones, of characters."""
+    start, held = 0, 0
+    for i, text in enumerate(texts):
+        n = len(text or "")
+        if i > start and (i - start == rows or held + n > chars):
+            yield start, i
+            start, held = i, 0
+        held += n
+    if start < len(texts):
+        yield start, len(texts)
+
+
 @lru_cache
 def _kinds() -> np.ndarray:
     """For each code point of the basic plane: 1 letter, 2 other alphanumeric, 0 else."""
