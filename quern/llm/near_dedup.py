@@ -6,7 +6,7 @@ shingle is left as soon as it is later than all registers of its document. Two r
 Jaccard similarity of the weighted shingles. Bands of registers give candidate buckets.
 
 In a bucket, members are compared with a leader, not with each other, and classes are joined over the links found
-before the next round. A bucket whose members are one class is done; in the others more members lead, four times as
+before the next round. A bucket whose members are one class is done; in the others more members lead, eight times as
 many in each round, those of the smallest classes first, each compared with all members of other classes and then
 done. Left out are only comparisons that cannot give a link: shingles that only texts of one class have are missing
 from every partner in another, and with their number two texts' similarity has an upper bound. So every two members of a
@@ -32,6 +32,8 @@ from quern.llm.text import batches, blocks, fold, mix, shingles, span_hashes, wo
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, BAND_ROWS = 16, 4
 REGISTERS = BANDS * BAND_ROWS
+#: How many times as many members of a bucket lead in each round.
+LEADERS = 8
 _STEP = 0x9E3779B97F4A7C15
 _NONE = -(2**63)
 
@@ -149,19 +151,33 @@ def _explode(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(names[start:end][row]), pa.array(shingle.view(np.int64)), pa.array(weight)], ["t", "shingle", "weight"])
 
 
-def _own(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """(t, own) of the texts (t, label): own has n, the distinct shingles, how many of them are mine, in no text of
-    another class, their share of the weight, and whether all weights are 1, flat. `rows` are a written table."""
-    rows = rows.join(labels, "t")
-    alone = rows.groupBy("shingle").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least = most").select("shingle")
+def _sets(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """(t, set) of the texts (t, label): a struct of the distinct shingles, their number n, how many of them are mine, in
+    no text of another class, their share of the weight, and whether all weights are 1, flat. `rows` is a written table."""
+    alone = rows.join(labels, "t").groupBy("shingle").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least = most").select("shingle")
     mine = rows.join(alone, "shingle").groupBy("t").agg(F.count(F.lit(1)).alias("mine"), F.sum("weight").alias("part"))
-    whole = rows.groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("all"), (F.max("weight") == 1).alias("flat"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return whole.join(mine, "t", "left").select("t", F.struct("n", zero("mine"), (F.coalesce("part", F.lit(0.0)) / F.col("all")).alias("share"), "flat").alias("own"))
+    whole = rows.groupBy("t").agg(F.collect_list("shingle").alias("shingles"), F.count(F.lit(1)).alias("n"), F.sum("weight").alias("all"), (F.max("weight") == 1).alias("flat"))
+    share = (F.coalesce("part", F.lit(0.0)) / F.col("all")).alias("share")
+    return whole.join(mine, "t", "left").select("t", F.struct("shingles", "n", F.coalesce("mine", F.lit(0)).alias("mine"), share, "flat").alias("set"))
+
+
+def _links(members: DataFrame, leaders: DataFrame, sets: DataFrame, bodies: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between leaders and members of other classes that first meet in this bucket. Where all weights are 1
+    the join itself compares the sets; other pairs go on to `_verified`."""
+    members = members.join(sets, "t")
+    leaders = leaders.join(sets.select(F.col("t").alias("l"), F.col("set").alias("other")), "l")
+    flat = F.col("set.flat") & F.col("other.flat")
+    common = F.size(F.array_intersect("set.shingles", "other.shingles"))
+    equal = F.when(flat, common / (F.col("set.n") + F.col("other.n") - common) >= threshold).otherwise(F.lit(True))
+    open_ = (F.col("label") != F.col("its")) & ~F.arrays_overlap("before", "earlier") & (_reach("set", "other") >= threshold - 1e-9)
+    met = members.join(leaders, (members["key"] == leaders["key"]) & open_ & equal)
+    met = materialise(met.select(F.least("t", "l").alias("a"), F.greatest("t", "l").alias("b"), flat.alias("sure")).distinct())
+    rest = _verified(met.where("not sure").select("a", "b"), bodies).where(F.col("sim") >= threshold)
+    return met.where("sure").select("a", "b").unionByName(rest.select("a", "b"))
 
 
 def _reach(a: str, b: str) -> Column:
-    """An upper bound of the similarity of two texts, from `_own` as structs. Of the shingles of one at most those that
+    """An upper bound of the similarity of two texts, from the structs of `_sets`. Of the shingles of one at most those that
     are not its own are in the other. With p and q what is left of the weights, the probability Jaccard similarity is at
     most p q / (1 - (1 - p) (1 - q)): of each shared shingle it adds a concave function of its two weights that is
     homogeneous, so all of them add at most that function of the sums."""
@@ -182,18 +198,20 @@ def _labelled(docs: DataFrame, threshold: float) -> DataFrame:
     signed = materialise(_rows(docs, "text").mapInArrow(_sign, "doc long, raw long, t long, bands array<long>"))
     texts = signed.groupBy("t").agg(F.min("doc").alias("doc"), F.min_by("raw", "doc").alias("raw"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
     texts = materialise(texts)
-    buckets = texts.select("t", F.explode("bands").alias("key"))
+    # A bucket has, beside a text, its bands before: after the first round, two texts are
+    # compared in the first bucket that they share.
+    buckets = texts.select("t", "bands", F.posexplode("bands").alias("band", "key")).select("t", "key", F.slice("bands", F.lit(1), F.col("band")).alias("before"))
     shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    active = materialise(buckets.join(shared, "key").select("key", "t", "n"))
+    active = materialise(buckets.join(shared, "key").select("key", "t", "before", "n"))
     size = active.groupBy("t").agg(F.sum("n").alias("size"))
-    active = materialise(active.join(size, "t").select("key", "t", "size"))
+    active = materialise(active.join(size, "t").select("key", "t", "before", "size"))
     wanted = active.select("t").distinct().join(texts.select("t", "doc", "raw"), "t")
     bodies = materialise(_rows(docs, "text").join(wanted, ["doc", "raw"]).select("t", "text").dropDuplicates(["t"]))
 
-    labels, compared, exploded, count = None, None, None, 1
+    labels, sets, count = None, None, 1
     while True:
         now = F.col("t").alias("label") if labels is None else F.coalesce("label", "t").alias("label")
-        current = (active if labels is None else active.join(labels, "t", "left")).select("key", "t", "size", now)
+        current = (active if labels is None else active.join(labels, "t", "left")).select("key", "t", "before", "size", now)
         classes_of = current.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
         mixed = classes_of.groupBy("key").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1").select("key")
         current = materialise(current.join(mixed, "key"))
@@ -201,26 +219,22 @@ def _labelled(docs: DataFrame, threshold: float) -> DataFrame:
             break
         part = F.pmod(F.xxhash64("t", F.lit(count)), F.lit(count)).alias("part")
         # The first leader is the member in the largest buckets: the middle of a group of copies.
-        first = F.max_by(F.struct("t", "label"), F.struct("size", "t")) if count == 1 else F.min_by(F.struct("t", "label"), F.struct("n", "t"))
+        body = F.struct("t", "label", "before")
+        first = F.max_by(body, F.struct("size", "t")) if count == 1 else F.min_by(body, F.struct("n", "t"))
         ranked = current if count == 1 else current.join(classes_of, ["key", "label"])
-        leaders = materialise(ranked.groupBy("key", part).agg(first.alias("l")).select("key", F.col("l.t").alias("l"), F.col("l.label").alias("its")))
-        near = F.lit(True)
-        members, leading = current, leaders
-        if count == 4:
-            exploded = materialise(bodies.join(current.select("t").distinct(), "t", "left_semi").mapInArrow(_explode, "t long, shingle long, weight double"))
-        if count > 1:
-            own = materialise(_own(exploded, current.select("t", "label").distinct()))
-            members = current.join(own, "t")
-            leading = leaders.join(own.select(F.col("t").alias("l"), F.col("own").alias("theirs")), "l")
-            near = _reach("own", "theirs") >= threshold - 1e-9
-        meet = members.join(leading, (members["key"] == leading["key"]) & (F.col("label") != F.col("its")) & near)
-        meet = meet.select(F.least("t", "l").alias("a"), F.greatest("t", "l").alias("b"))
-        pairs = meet.distinct()
-        sims = _verified(materialise(pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti")), bodies)
-        compared = sims if compared is None else compared.unionByName(sims)
-        labels = _joined(labels, sims.where(F.col("sim") >= threshold).select("a", "b"))
-        active = materialise(current.select("key", "t", "size").join(leaders.select("key", F.col("l").alias("t")), ["key", "t"], "left_anti"))
-        count *= 4
+        leaders = ranked.groupBy("key", part).agg(first.alias("l")).select("key", F.col("l.t").alias("l"), F.col("l.label").alias("its"), F.col("l.before").alias("earlier"))
+        leaders = materialise(leaders)
+        if count == 1:
+            pairs = materialise(current.join(leaders, "key").where("label <> its").select(F.least("t", "l").alias("a"), F.greatest("t", "l").alias("b")).distinct())
+            links = _verified(pairs, bodies).where(F.col("sim") >= threshold).select("a", "b")
+        else:
+            if count == LEADERS:
+                exploded = materialise(bodies.join(current.select("t").distinct(), "t", "left_semi").mapInArrow(_explode, "t long, shingle long, weight double"))
+                sets = materialise(_sets(exploded, current.select("t", "label").distinct()))
+            links = _links(current, leaders, sets, bodies, threshold)
+        labels = _joined(labels, links)
+        active = materialise(current.select("key", "t", "before", "size").join(leaders.select("key", F.col("l").alias("t")), ["key", "t"], "left_anti"))
+        count *= LEADERS
     if labels is None:
         labels = texts.select("t", F.col("t").alias("label")).limit(0)
 
