@@ -12,7 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 600_000
 #: Characters of a text that are split into words at a time.
 SEGMENT = 1 << 20
 
