@@ -24,8 +24,9 @@ from quern.llm.tokens import default_tokenizer, encoder
 
 CAPACITY = 4096
 END_ID = 1
-#: Groups of the linear grouping scheme, and the part of the capacity from which a document counts as large.
-GROUPS = 64
+#: Numbers of groups of the linear grouping scheme, of which the best counts: more groups round less up, fewer leave
+#: more room for small documents. And the part of the capacity from which a document counts as large.
+GROUPS = (16, 32, 64)
 LARGE = 1 / 8
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -99,12 +100,17 @@ def _configurations(sizes: list[int], demand: list[int], capacity: int) -> list[
     return found
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> pd.DataFrame:
-    """Where the documents of each length go, as runs.
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: tuple[int, ...] = GROUPS) -> pd.DataFrame:
+    """Where the documents of each length go, as runs: the plan of the fewest sequences among the numbers of groups.
 
     A run (length, rank, n, sequence, per, offset) places the `n` documents of that length from `rank` on into
     sequences from `sequence` on, `per` in each, one after another from `offset`.
     """
+    return min((_plan(histogram, capacity, k) for k in groups), key=lambda found: found[1])[0]
+
+
+def _plan(histogram: dict[int, int], capacity: int, groups: int) -> tuple[pd.DataFrame, int]:
+    """The runs for one number of groups, and how many sequences they use."""
     runs: list[tuple[int, int, int, int, int, int]] = []
     free: dict[int, list[tuple[int, int]]] = {}
     rooms: list[int] = []
@@ -195,7 +201,8 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROU
                 give(room - per * x, start, whole)
                 give(room, start + whole, have - whole)
                 rank, n = rank + whole * per, n - whole * per
-    return pd.DataFrame(runs, columns=["length", "rank", "n", "sequence", "per", "offset"]).sort_values(["length", "rank"], ignore_index=True)
+    table_of = pd.DataFrame(runs, columns=["length", "rank", "n", "sequence", "per", "offset"])
+    return table_of.sort_values(["length", "rank"], ignore_index=True), used
 
 
 def pack(parts: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = ("doc_id", "piece", "ids_crc32")) -> DataFrame:
