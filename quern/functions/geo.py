@@ -14,13 +14,14 @@ EARTH_RADIUS, CELLS = 6_371_000.0, 1 << 31
 def snap_lat(lat: Column) -> Column:
     """The centre of the cell of a latitude."""
     cell = F.least(F.floor((F.greatest(F.least(lat, F.lit(90.0)), F.lit(-90.0)) + 90.0) * (CELLS / 180.0)), F.lit(CELLS - 1))
-    return (cell + 0.5) / (CELLS / 180.0) - 90.0
+    return F.when(lat.isNotNull(), (cell + 0.5) / (CELLS / 180.0) - 90.0)
 
 
 def snap_lon(lon: Column) -> Column:
     """The centre of the cell of a longitude, wrapped to [-180, 180)."""
     wrapped = lon - F.floor((lon + 180.0) / 360.0) * 360.0
-    return (F.least(F.floor((wrapped + 180.0) * (CELLS / 360.0)), F.lit(CELLS - 1)) + 0.5) / (CELLS / 360.0) - 180.0
+    cell = F.least(F.floor((wrapped + 180.0) * (CELLS / 360.0)), F.lit(CELLS - 1))
+    return F.when(lon.isNotNull(), (cell + 0.5) / (CELLS / 360.0) - 180.0)
 
 
 def zcode(lat: Column, lon: Column) -> Column:
@@ -33,7 +34,7 @@ def zcode(lat: Column, lon: Column) -> Column:
             v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))
         return v
 
-    return spread(y.cast("long")).bitwiseOR(F.shiftleft(spread(x.cast("long")), 1))
+    return F.when(lat.isNotNull() & lon.isNotNull(), spread(y.cast("long")).bitwiseOR(F.shiftleft(spread(x.cast("long")), 1)))
 
 
 def distance(lat: Column, lon: Column, lat0: float | Column, lon0: float | Column) -> Column:
@@ -41,7 +42,7 @@ def distance(lat: Column, lon: Column, lat0: float | Column, lon0: float | Colum
     lat0, lon0 = (x if isinstance(x, Column) else F.lit(float(x)) for x in (lat0, lon0))
     half = lambda a, b: F.sin((F.radians(b) - F.radians(a)) / 2)
     h = half(lat, lat0) * half(lat, lat0) + F.cos(F.radians(lat)) * F.cos(F.radians(lat0)) * half(lon, lon0) * half(lon, lon0)
-    return F.coalesce(2 * EARTH_RADIUS * F.asin(F.least(F.lit(1.0), F.sqrt(h))), F.lit(float("inf")))
+    return F.when(h.isNull(), F.lit(float("inf"))).otherwise(2 * EARTH_RADIUS * F.asin(F.least(F.lit(1.0), F.sqrt(h))))
 
 
 def box(lat0: float, lon0: float, metres: float) -> tuple[float, float, list[tuple[float, float]]]:
