@@ -23,7 +23,8 @@ def components(links: DataFrame) -> DataFrame:
         jump = near.select(F.col("node").alias("to"), F.col("to").alias("further"))
         moved = materialise(near.join(jump, "to", "left").select("node", "label", F.least("to", F.coalesce("further", "to")).alias("new")))
         changed = not moved.where("label <> new").isEmpty()
-        release(spark, near)
+        release(spark, near, labels)
         labels = moved.select("node", F.col("new").alias("label"))
         if not changed:
+            release(spark, both)
             return labels

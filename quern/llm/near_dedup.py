@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import materialise, table
+from quern.llm.common import materialise, release, table
 from quern.llm.components import components
 from quern.llm.text import batches, blocks, fold, mix, shingles, span_hashes, words
 
@@ -210,6 +210,7 @@ def _labelled(docs: DataFrame, threshold: float) -> DataFrame:
 
     labels, sets, count = None, None, 1
     while True:
+        spent = [active] if labels is None else [active, labels]
         now = F.col("t").alias("label") if labels is None else F.coalesce("label", "t").alias("label")
         current = (active if labels is None else active.join(labels, "t", "left")).select("key", "t", "before", "size", now)
         classes_of = current.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
@@ -227,6 +228,7 @@ def _labelled(docs: DataFrame, threshold: float) -> DataFrame:
         if count == 1:
             pairs = materialise(current.join(leaders, "key").where("label <> its").select(F.least("t", "l").alias("a"), F.greatest("t", "l").alias("b")).distinct())
             links = _verified(pairs, bodies).where(F.col("sim") >= threshold).select("a", "b")
+            spent.append(pairs)
         else:
             if count == LEADERS:
                 exploded = materialise(bodies.join(current.select("t").distinct(), "t", "left_semi").mapInArrow(_explode, "t long, shingle long, weight double"))
@@ -234,6 +236,8 @@ def _labelled(docs: DataFrame, threshold: float) -> DataFrame:
             links = _links(current, leaders, sets, bodies, threshold)
         labels = _joined(labels, links)
         active = materialise(current.select("key", "t", "before", "size").join(leaders.select("key", F.col("l").alias("t")), ["key", "t"], "left_anti"))
+        # What a round has written is not read again.
+        release(docs.sparkSession, links, current, leaders, *spent)
         count *= LEADERS
     if labels is None:
         labels = texts.select("t", F.col("t").alias("label")).limit(0)
