@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import materialise, release
 
+#: Links to a part of the written tables.
+PART_ROWS = 50_000
+
 
 def components(links: DataFrame) -> DataFrame:
     """(node, label) for the nodes of the links (a, b); label is the smallest node of the component.
@@ -16,12 +19,13 @@ def components(links: DataFrame) -> DataFrame:
     """
     spark = links.sparkSession
     both = materialise(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b"))
-    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")))
+    parts = -(-both.count() // PART_ROWS) or 1
+    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")).coalesce(parts))
     while True:
         near = both.join(labels.select(F.col("node").alias("a"), "label"), "a").groupBy(F.col("b").alias("node")).agg(F.min("label").alias("near"))
-        near = materialise(labels.join(near, "node").select("node", "label", F.least("label", "near").alias("to")))
+        near = materialise(labels.join(near, "node").select("node", "label", F.least("label", "near").alias("to")).coalesce(parts))
         jump = near.select(F.col("node").alias("to"), F.col("to").alias("further"))
-        moved = materialise(near.join(jump, "to", "left").select("node", "label", F.least("to", F.coalesce("further", "to")).alias("new")))
+        moved = materialise(near.join(jump, "to", "left").select("node", "label", F.least("to", F.coalesce("further", "to")).alias("new")).coalesce(parts))
         changed = not moved.where("label <> new").isEmpty()
         release(spark, near, labels)
         labels = moved.select("node", F.col("new").alias("label"))

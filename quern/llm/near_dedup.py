@@ -6,8 +6,8 @@ shingle is left as soon as it is later than all registers of its document. Two r
 Jaccard similarity of the weighted shingles. Bands of registers give candidate buckets.
 
 In a bucket, members are compared with a leader, not with each other, and classes are joined over the links found
-before the next round. A bucket whose members are one class is done; in the others more members lead, eight times as
-many in each round, those of the smallest classes first, each compared with all members of other classes and then
+before the next round. A bucket whose members are one class is done; in the others more members lead, sixteen times
+as many in each round, those of the smallest classes first, each compared with all members of other classes and then
 done. Left out are only comparisons that cannot give a link: shingles that only texts of one class have are missing
 from every partner in another, and with their number two texts' similarity has an upper bound. So every two members of a
 bucket are compared, out of reach or in one class at the end: no link that would join two classes is lost, and no
@@ -33,7 +33,9 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, BAND_ROWS = 16, 4
 REGISTERS = BANDS * BAND_ROWS
 #: How many times as many members of a bucket lead in each round.
-LEADERS = 8
+LEADERS = 16
+#: Bucket members to a part of the tables that the rounds write.
+PART_ROWS = 50_000
 _STEP = 0x9E3779B97F4A7C15
 _NONE = -(2**63)
 
@@ -210,12 +212,13 @@ def _labelled(docs: DataFrame, threshold: float) -> DataFrame:
 
     labels, sets, count = None, None, 1
     while True:
-        spent = [active] if labels is None else [active, labels]
+        spent = [active]
         now = F.col("t").alias("label") if labels is None else F.coalesce("label", "t").alias("label")
         current = (active if labels is None else active.join(labels, "t", "left")).select("key", "t", "before", "size", now)
         classes_of = current.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
         mixed = classes_of.groupBy("key").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1").select("key")
-        current = materialise(current.join(mixed, "key"))
+        parts = -(-active.count() // PART_ROWS) or 1
+        current = materialise(current.join(mixed, "key").coalesce(parts))
         if current.isEmpty():
             break
         part = F.pmod(F.xxhash64("t", F.lit(count)), F.lit(count)).alias("part")
@@ -224,7 +227,7 @@ def _labelled(docs: DataFrame, threshold: float) -> DataFrame:
         first = F.max_by(body, F.struct("size", "t")) if count == 1 else F.min_by(body, F.struct("n", "t"))
         ranked = current if count == 1 else current.join(classes_of, ["key", "label"])
         leaders = ranked.groupBy("key", part).agg(first.alias("l")).select("key", F.col("l.t").alias("l"), F.col("l.label").alias("its"), F.col("l.before").alias("earlier"))
-        leaders = materialise(leaders)
+        leaders = materialise(leaders.coalesce(parts))
         if count == 1:
             pairs = materialise(current.join(leaders, "key").where("label <> its").select(F.least("t", "l").alias("a"), F.greatest("t", "l").alias("b")).distinct())
             links = _verified(pairs, bodies).where(F.col("sim") >= threshold).select("a", "b")
@@ -234,8 +237,10 @@ def _labelled(docs: DataFrame, threshold: float) -> DataFrame:
                 exploded = materialise(bodies.join(current.select("t").distinct(), "t", "left_semi").mapInArrow(_explode, "t long, shingle long, weight double"))
                 sets = materialise(_sets(exploded, current.select("t", "label").distinct()))
             links = _links(current, leaders, sets, bodies, threshold)
-        labels = _joined(labels, links)
-        active = materialise(current.select("key", "t", "before", "size").join(leaders.select("key", F.col("l").alias("t")), ["key", "t"], "left_anti"))
+        if labels is None or not links.isEmpty():
+            spent += [labels] if labels is not None else []
+            labels = _joined(labels, links)
+        active = materialise(current.select("key", "t", "before", "size").join(leaders.select("key", F.col("l").alias("t")), ["key", "t"], "left_anti").coalesce(parts))
         # What a round has written is not read again.
         release(docs.sparkSession, links, current, leaders, *spent)
         count *= LEADERS
