@@ -157,10 +157,10 @@ def o_page_result(spark, sf_dir):
     return spark.createDataFrame([(r.count, r.total_count, r.page_index, r.page_count, r.is_last_page)], "count int, total_count long, page_index int, page_count int, is_last_page boolean")
 
 
-@query("SELECT sum(l_extendedprice * (1 - l_discount)) AS sum FROM lineitem WHERE l_returnflag = 'R'")
+@query("SELECT round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum FROM lineitem WHERE l_returnflag = 'R'")
 def a_sum(spark, sf_dir):
     q = NodeQuery(table(spark, sf_dir, "lineitem"), key="l_orderkey").where(logic.eq(F.col("l_returnflag"), "R"))
-    return q.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).select(F.col("sum"))
+    return q.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).select(F.round("sum", 2).alias("sum"))
 
 
 @query("SELECT CAST(0 AS DOUBLE) AS sum FROM region WHERE r_regionkey = 0")
@@ -168,11 +168,11 @@ def a_sum_of_nothing(spark, sf_dir):
     return NodeQuery(table(spark, sf_dir, "lineitem"), key="l_orderkey").where(F.lit(False)).sum("l_tax").select(F.col("sum"))
 
 
-@query("""SELECT l_returnflag, l_linestatus, sum(l_quantity) AS quantity, sum(l_extendedprice) AS price, avg(l_discount) AS discount, min(l_shipdate) AS first,
+@query("""SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS quantity, round(sum(l_extendedprice), 2) AS price, round(avg(l_discount), 6) AS discount, min(l_shipdate) AS first,
 max(l_shipdate) AS last, count(DISTINCT l_suppkey) AS suppliers, count(*) AS n FROM lineitem GROUP BY l_returnflag, l_linestatus""")
 def a_grouped(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(
-        F.sum("l_quantity").alias("quantity"), F.sum("l_extendedprice").alias("price"), F.avg("l_discount").alias("discount"), F.min("l_shipdate").alias("first"),
+        F.round(F.sum("l_quantity"), 2).alias("quantity"), F.round(F.sum("l_extendedprice"), 2).alias("price"), F.round(F.avg("l_discount"), 6).alias("discount"), F.min("l_shipdate").alias("first"),
         F.max("l_shipdate").alias("last"), F.count_distinct("l_suppkey").alias("suppliers"), F.count(F.lit(1)).alias("n"),
     )
 

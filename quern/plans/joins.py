@@ -54,13 +54,13 @@ def j_include(spark, sf_dir):
 
 
 @query("""WITH o AS (SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders WHERE o_totalprice > 150000)
-SELECT c_custkey AS id, coalesce(sum(o_totalprice), 0) AS price, count(o_orderkey) AS orders FROM customer LEFT JOIN o ON o_custkey = c_custkey AND k <= 2 GROUP BY c_custkey""")
+SELECT c_custkey AS id, round(coalesce(sum(o_totalprice), 0), 2) AS price, count(o_orderkey) AS orders FROM customer LEFT JOIN o ON o_custkey = c_custkey AND k <= 2 GROUP BY c_custkey""")
 def j_include_top_filter(spark, sf_dir):
     catalog = graph_catalog(spark, sf_dir)
     branch = Include("orders", catalog.edges("orders"), catalog.scan("order").select("id", "price"), where=(F.col("price") > 150000,), top=2)
     rows = NodeQuery.of(catalog, "customer").include(branch).rows()
     total = F.aggregate("orders", F.lit(0.0), lambda s, o: s + o["price"])
-    return rows.select("id", total.alias("price"), F.size("orders").cast("long").alias("orders"))
+    return rows.select("id", F.round(total, 2).alias("price"), F.size("orders").cast("long").alias("orders"))
 
 
 @query("""SELECT CAST(r_regionkey AS BIGINT) AS id, n_name AS nation, s_suppkey AS supplier FROM region JOIN nation ON n_regionkey = r_regionkey JOIN supplier ON s_nationkey = n_nationkey""")
