@@ -130,19 +130,19 @@ def fit_rates(rows: DataFrame, targets: list[float]) -> tuple[DataFrame, list[fl
             rows = materialise(rows)
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget: float | str | None = None, most: int = FIT_ROWS) -> DataFrame:
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget: float | str | None = None, most: int = FIT_ROWS, without: tuple[str, ...] = ()) -> DataFrame:
     """Add tokens, posterior, rate and copies to `docs`, so that domains get the target shares of the budget.
 
     `labelled` has (doc_id, domain). The budget is in tokens; by default as many as there are; the name of a domain
     stands for as many as give that domain what it has. copies is the rate rounded up or down by a hash of doc_id, so
     that it is right on average. An empty table gives no rows; texts without words weigh nothing and have rates too.
-    Columns of these names are replaced.
+    Columns of these names are replaced; those named in `without` are not returned, nor written in between.
     """
     domains = sorted(targets)
     few = labelled.where(F.col("domain").isin(domains)).groupBy("doc_id").agg(F.max("domain").alias("domain"))
     few = few.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     model = learn(docs.select("doc_id", "text").join(F.broadcast(few), "doc_id"), domains, most)  # `most` rows at most
-    rows = materialise(posteriors(docs, model))
+    rows = materialise(posteriors(docs, model).drop(*without))
     have = rows.agg(F.sum("tokens").alias("all"), *(F.sum(F.col("tokens") * F.col("posterior")[d]).alias(f"d{d}") for d in range(len(domains)))).first()
     share = sum(targets.values())
     if isinstance(budget, str):
@@ -161,5 +161,5 @@ def label_domains(labels: DataFrame) -> DataFrame:
 
 def op6_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    mixed = mix(docs, label_domains(table(spark, sf_dir, "labels")), TARGETS)
+    mixed = mix(docs, label_domains(table(spark, sf_dir, "labels")), TARGETS, without=("text",))
     return mixed.select("doc_id", "source", "tokens", *(F.col("posterior")[k].alias(f"p_{d}") for k, d in enumerate(sorted(TARGETS))), "rate", "copies")

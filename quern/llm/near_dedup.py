@@ -277,4 +277,4 @@ def keep_first(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def op2_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classes(table(spark, sf_dir, "documents")).withColumn("kept", F.col("doc_id") == F.col("class_id"))
+    return classes(table(spark, sf_dir, "documents")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
