@@ -4,7 +4,8 @@ Units are normalised (words alone, lower case) and hashed; digests are grouped o
 document by id keeps its first occurrence, and every other occurrence is a repeat. Runs of repeats in a row that
 reach a number of words are removed; the original offsets of what is removed are kept. A passage that begins or
 ends inside a line leaves no equal line behind, so lines are cut at sentence ends and where a capital letter follows
-a word without one; the run, not the unit, decides, so short units that recur by chance stay.
+a word without one; the run, not the unit, decides, so short units that recur by chance stay. Whole lines are a kind of their own: every
+later occurrence of a line goes, whatever its surroundings, if the line has LINE_WORDS words.
 """
 
 from __future__ import annotations
@@ -19,19 +20,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.common import materialise, table
-from quern.llm.text import blocks, codes, fold, kinds, span_hashes
+from quern.llm.text import batches, blocks, codes, fold, kinds, mix, span_hashes
 
 #: Words that a run of repeated units must have to be removed.
 RUN_WORDS = 30
+#: Words that a whole line must have to be removed where it recurs: shorter ones are headings and items of lists.
+LINE_WORDS = 4
+KINDS = UNIT, LINE = 0, 1
 _LINE_END = re.compile("\n")
 _STOPS = np.array([ord(c) for c in ".!?…。！？"], dtype=np.uint32)
 _BLANKS = np.array([ord(c) for c in " \t\n\r"], dtype=np.uint32)
 
 
-def units(texts: list[str | None]) -> tuple[np.ndarray, ...]:
-    """The units of the texts in order: (row, index in the row, start, end, words, digest).
+def split(texts: list[str | None]) -> tuple[np.ndarray, ...]:
+    """The words of the texts in order: (row, start, end, hash, whether a unit begins, whether a line begins).
 
-    Units cover a text without gaps; a text without words has none.
+    A word's span goes on to the next word; the spans cover a text without gaps. A text without words has none.
     """
     held = []
     for parts, rows, offsets in blocks(texts, _LINE_END):
@@ -46,25 +50,36 @@ def units(texts: list[str | None]) -> tuple[np.ndarray, ...]:
         blank = np.isin(points, _BLANKS)
         stop = np.isin(points, _STOPS) & np.append(blank[1:], True)
         stops = np.concatenate([[0], np.cumsum(stop | (points == 10))])
+        breaks = np.concatenate([[0], np.cumsum(points == 10)])
         capital = points[starts] != low[starts]
-        first = np.ones(len(starts), dtype=bool)
-        first[1:] = (of[1:] != of[:-1]) | (stops[starts[1:]] > stops[ends[:-1]]) | (capital[1:] & ~capital[:-1])
-        words = span_hashes(low, starts, ends)
-        begin = np.flatnonzero(first)
-        stop_at = np.append(begin[1:], len(starts))
-        part = of[begin]
-        lead = np.diff(part, prepend=-1) > 0  # the first unit of its part
+        line = np.ones(len(starts), dtype=bool)
+        line[1:] = (of[1:] != of[:-1]) | (breaks[starts[1:]] > breaks[ends[:-1]])
+        first = line.copy()
+        first[1:] |= (stops[starts[1:]] > stops[ends[:-1]]) | (capital[1:] & ~capital[:-1])
+        lead = np.diff(of, prepend=-1) > 0  # the first word of its part
         limits = np.array([len(p) for p in parts])
-        left = np.where(lead, 0, starts[begin] - at[part])
+        left = np.where(lead, 0, starts - at[of])
         right = np.append(left[1:], 0)
         last = np.append(lead[1:], True)
-        right[last] = limits[part[last]]
-        held.append((rows[part], left + offsets[part], right + offsets[part], stop_at - begin, span_hashes(words, begin, stop_at)))
+        right[last] = limits[of[last]]
+        held.append((rows[of], left + offsets[of], right + offsets[of], span_hashes(low, starts, ends), first, line))
     if not held:
         none = np.zeros(0, dtype=np.int64)
-        return none, none, none, none, none, np.zeros(0, dtype=np.uint64)
-    row, left, right, count, digest = (np.concatenate(x) for x in zip(*held, strict=True))
-    return row, np.arange(len(row)) - np.searchsorted(row, row), left, right, count, digest
+        return none, none, none, np.zeros(0, dtype=np.uint64), none > 0, none > 0
+    return tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
+def pieces(row: np.ndarray, word: np.ndarray, first: np.ndarray, line: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+    """For each of the KINDS, (row, first word, end, digest) of the pieces; digests of two kinds are never equal."""
+    found = []
+    for kind, begins in enumerate((first, line)):
+        begin = np.flatnonzero(begins)
+        end = np.append(begin[1:], len(row))
+        if kind == LINE:
+            long = end - begin >= LINE_WORDS
+            begin, end = begin[long], end[long]
+        found.append((row[begin], begin, end, mix(span_hashes(word, begin, end) + np.uint64(kind))))
+    return found
 
 
 def repeats_within(row: np.ndarray, digest: np.ndarray) -> np.ndarray:
@@ -76,23 +91,34 @@ def repeats_within(row: np.ndarray, digest: np.ndarray) -> np.ndarray:
     return again
 
 
-def _hash_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        row, index, _, _, _, digest = units(batch["text"].to_pylist())
-        keep = ~repeats_within(row, digest)
-        doc = np.array(batch["doc"].to_pylist(), dtype=np.int64)[row[keep]]
-        yield pa.RecordBatch.from_arrays([pa.array(digest[keep].view(np.int64)), pa.array(doc), pa.array(index[keep].astype(np.int32))], ["digest", "doc", "unit"])
+def _hash_units(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in found:
+        texts, docs = batch["text"].to_pylist(), np.array(batch["doc"].to_pylist(), dtype=np.int64)
+        for start, end in batches(texts):
+            row, _, _, word, first, line = split(texts[start:end])
+            base = np.searchsorted(row, np.arange(end - start))
+            for kind, (of, begin, _, digest) in enumerate(pieces(row, word, first, line)):
+                keep = ~repeats_within(of, digest)
+                of, at = of[keep], (begin - base[of])[keep]
+                columns = [digest[keep].view(np.int64), docs[start:end][of], np.full(len(of), kind, dtype=np.int8), at.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["digest", "doc", "kind", "at"])
 
 
-def cut(text: str | None, flagged: np.ndarray, least: int) -> tuple[str | None, list[dict]]:
-    """The text without its runs of repeated units, and the spans removed."""
-    row, _, left, right, count, digest = units([text])
+def cut(text: str | None, flagged: list[np.ndarray], least: int) -> tuple[str | None, list[dict]]:
+    """The text without its repeated lines and its runs of repeated units, and the spans removed; `flagged` has, for each
+    of the KINDS, the first words of the pieces that an earlier document has."""
+    row, left, right, word, first, line = split([text])
     if not len(row):
         return text, []
-    bad = repeats_within(row, digest)
-    bad[flagged[flagged < len(bad)]] = True
-    change = np.diff(np.concatenate([[0], bad.astype(np.int8), [0]]))
-    spans = [(int(left[a]), int(right[b - 1])) for a, b in zip(np.flatnonzero(change == 1), np.flatnonzero(change == -1), strict=True) if count[a:b].sum() >= least]
+    bad = []
+    for at, (of, begin, end, digest) in zip(flagged, pieces(row, word, first, line), strict=True):
+        again = repeats_within(of, digest) | np.isin(begin, at)
+        bad.append(np.cumsum(np.bincount(begin[again], minlength=len(row) + 1) - np.bincount(end[again], minlength=len(row) + 1))[:-1] > 0)
+    gone = bad[LINE]
+    for a, b in runs(bad[UNIT]):
+        if b - a >= least:
+            gone[a:b] = True
+    spans = [(int(left[a]), int(right[b - 1])) for a, b in runs(gone)]
     kept, at = [], 0
     for start, end in spans:
         kept.append(text[at:start])
@@ -100,6 +126,12 @@ def cut(text: str | None, flagged: np.ndarray, least: int) -> tuple[str | None,
     return "".join([*kept, text[at:]]), [{"start": s, "end": e} for s, e in spans]
 
 
+def runs(mask: np.ndarray) -> list[tuple[int, int]]:
+    """Start and end of each run of true values."""
+    change = np.diff(np.concatenate([[0], mask.astype(np.int8), [0]]))
+    return list(zip(np.flatnonzero(change == 1).tolist(), np.flatnonzero(change == -1).tolist(), strict=True))
+
+
 def dedup(docs: DataFrame, least: int = RUN_WORDS) -> DataFrame:
     """Replace `text` by what is left of it and add removed_spans, the spans removed as offsets in the original.
 
@@ -109,20 +141,20 @@ def dedup(docs: DataFrame, least: int = RUN_WORDS) -> DataFrame:
     """
     docs = docs.drop("removed_spans")
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    found = materialise(docs.select(doc.alias("doc"), "text").mapInArrow(_hash_units, "digest long, doc long, unit int"))
+    found = materialise(docs.select(doc.alias("doc"), "text").mapInArrow(_hash_units, "digest long, doc long, kind byte, at int"))
     shared = found.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where(F.col("first") < F.col("last"))
     shared = materialise(shared.select("digest", "first"))
     # A digest may be in a third of all documents: both sides are written tables, so that the join can split it.
     later = found.join(shared, "digest").where(F.col("doc") > F.col("first"))
-    flags = later.groupBy(F.col("doc").alias("__doc")).agg(F.collect_list("unit").alias("__units"))
+    flags = later.groupBy(F.col("doc").alias("__doc")).agg(*(F.collect_list(F.when(F.col("kind") == k, F.col("at"))).alias(f"at{k}") for k in KINDS)).select("__doc", F.array(*(f"at{k}" for k in KINDS)).alias("__pieces"))
 
     @F.pandas_udf("text string, removed_spans array<struct<start: long, end: long>>")
     def remove(texts: pd.Series, flagged: pd.Series) -> pd.DataFrame:
-        rows = [cut(t, np.asarray([] if f is None else f, dtype=np.int64), least) for t, f in zip(texts, flagged, strict=True)]
+        rows = [cut(t, [np.asarray(x, dtype=np.int64) for x in ([[]] * len(KINDS) if f is None else f)], least) for t, f in zip(texts, flagged, strict=True)]
         return pd.DataFrame({"text": [r[0] for r in rows], "removed_spans": [r[1] for r in rows]})
 
     joined = docs.withColumn("__key", doc).join(flags, F.col("__key") == F.col("__doc"), "left")
-    out = joined.withColumn("__out", remove("text", "__units"))
+    out = joined.withColumn("__out", remove("text", "__pieces"))
     return out.withColumn("text", F.col("__out.text")).withColumn("removed_spans", F.col("__out.removed_spans")).select(*docs.columns, "removed_spans")
 
 

@@ -151,6 +151,14 @@ def test_passage_inside_a_line(spark):
     assert "Zebra" not in out[2] and out[2].startswith("some other words") and out[1].count("Zebra") == 1
 
 
+def test_whole_lines_that_recur(spark):
+    line = "Home, about us, contact and terms of use"
+    df = spark.createDataFrame([(i, f"Story {i} begins here alone.\n{line}\nStory {i} ends. Yes") for i in range(3)] + [(9, f"Inside a {line} of another line\nYes")], "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in substring.dedup(df).collect()}
+    assert line in out[0] and [out[i] for i in (1, 2)] == [f"Story {i} begins here alone.\nStory {i} ends. Yes" for i in (1, 2)]
+    assert line in out[9] and out[9].endswith("Yes")
+
+
 def test_mixing(docs, clashing):
     labels = docs.select("doc_id", F.when(F.col("doc_id") < 6, "good").otherwise("poor").alias("domain"))
     mixed = mixing.mix(clashing, labels, {"good": 0.5, "poor": 0.5}).collect()
