@@ -6,6 +6,12 @@ reach a number of words are removed; the original offsets of what is removed are
 ends inside a line leaves no equal line behind, so lines are cut at sentence ends and where a capital letter follows
 a word without one; the run, not the unit, decides, so short units that recur by chance stay. Whole lines are a kind of their own: every
 later occurrence of a line goes, whatever its surroundings, if the line has LINE_WORDS words.
+
+Passages that begin and end inside units are found by anchors: of any WINDOW runs of ANCHOR_WORDS words in a row, the
+one of least hash is an anchor, wherever it is. So a passage of RUN_WORDS words has the same anchors in both
+documents, they touch one another, and fewer than WINDOW words lie before the first and after the last. Where a row of
+anchors ends, words are compared one by one with those of the kept occurrence, and the passage goes on as far as they
+are equal. Words of units and of passages count together for RUN_WORDS.
 """
 
 from __future__ import annotations
@@ -16,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.llm.common import materialise, table
@@ -26,7 +32,9 @@ from quern.llm.text import batches, blocks, codes, fold, kinds, mix, span_hashes
 RUN_WORDS = 30
 #: Words that a whole line must have to be removed where it recurs: shorter ones are headings and items of lists.
 LINE_WORDS = 4
-KINDS = UNIT, LINE = 0, 1
+#: Words of an anchor, and runs of so many words of which the one of least hash is an anchor.
+ANCHOR_WORDS = WINDOW = 15
+KINDS = UNIT, LINE, ANCHOR = 0, 1, 2
 _LINE_END = re.compile("\n")
 _STOPS = np.array([ord(c) for c in ".!?…。！？"], dtype=np.uint32)
 _BLANKS = np.array([ord(c) for c in " \t\n\r"], dtype=np.uint32)
@@ -79,6 +87,19 @@ def pieces(row: np.ndarray, word: np.ndarray, first: np.ndarray, line: np.ndarra
             long = end - begin >= LINE_WORDS
             begin, end = begin[long], end[long]
         found.append((row[begin], begin, end, mix(span_hashes(word, begin, end) + np.uint64(kind))))
+    begin = np.arange(max(0, len(row) - ANCHOR_WORDS + 1))
+    digest = mix(span_hashes(word, begin, begin + ANCHOR_WORDS) + np.uint64(ANCHOR))
+    picked = np.zeros(len(begin), dtype=bool)
+    n = len(begin) - WINDOW + 1
+    if n > 0:
+        least = digest[:n].copy()
+        for k in range(1, WINDOW):
+            np.minimum(least, digest[k : k + n], out=least)
+        whole = row[:n] == row[WINDOW + ANCHOR_WORDS - 2 :]
+        for k in range(WINDOW):
+            picked[k : k + n] |= whole & (digest[k : k + n] == least)
+    begin = begin[picked]
+    found.append((row[begin], begin, begin + ANCHOR_WORDS, digest[picked]))
     return found
 
 
@@ -93,29 +114,69 @@ def repeats_within(row: np.ndarray, digest: np.ndarray) -> np.ndarray:
 
 def _hash_units(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in found:
-        texts, docs = batch["text"].to_pylist(), np.array(batch["doc"].to_pylist(), dtype=np.int64)
+        texts, docs, raws = batch["text"].to_pylist(), *(np.array(batch[c].to_pylist(), dtype=np.int64) for c in ("doc", "raw"))
         for start, end in batches(texts):
             row, _, _, word, first, line = split(texts[start:end])
             base = np.searchsorted(row, np.arange(end - start))
             for kind, (of, begin, _, digest) in enumerate(pieces(row, word, first, line)):
                 keep = ~repeats_within(of, digest)
                 of, at = of[keep], (begin - base[of])[keep]
-                columns = [digest[keep].view(np.int64), docs[start:end][of], np.full(len(of), kind, dtype=np.int8), at.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["digest", "doc", "kind", "at"])
+                columns = [digest[keep].view(np.int64), docs[start:end][of], raws[start:end][of], np.full(len(of), kind, dtype=np.int8), at.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["digest", "doc", "raw", "kind", "at"])
+
+
+def _contexts(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words before each anchor, the nearest first, and those after it, as far as a passage can go on."""
+    for batch in found:
+        texts, docs, raws, wanted = (batch[c].to_pylist() for c in ("text", "doc", "raw", "ats"))
+        for start, end in batches(texts):
+            row, _, _, word, _, _ = split(texts[start:end])
+            base = np.searchsorted(row, np.arange(end - start + 1))
+            held = []
+            for i in range(end - start):
+                mine = word[base[i] : base[i + 1]].view(np.int64)
+                held += [(docs[start + i], raws[start + i], at, *around(mine, at)) for at in wanted[start + i]]
+            yield pa.RecordBatch.from_arrays([pa.array([h[k] for h in held], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), *[pa.list_(pa.int64())] * 2))], ["s", "t", "at", "before", "after"])
+
+
+def around(words: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray]:
+    return words[max(0, at - WINDOW + 1) : at][::-1], words[at + ANCHOR_WORDS : at + ANCHOR_WORDS + WINDOW - 1]
+
+
+def common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many words are equal from the start on."""
+    n = min(len(a), len(b))
+    other = np.flatnonzero(a[:n] != b[:n])
+    return int(other[0]) if len(other) else n
 
 
-def cut(text: str | None, flagged: list[np.ndarray], least: int) -> tuple[str | None, list[dict]]:
-    """The text without its repeated lines and its runs of repeated units, and the spans removed; `flagged` has, for each
-    of the KINDS, the first words of the pieces that an earlier document has."""
+def cut(text: str | None, flagged: list[np.ndarray], edges: list[dict], least: int) -> tuple[str | None, list[dict]]:
+    """The text without its repeated lines and its runs of repeated words, and the spans removed; `flagged` has, for each
+    of the KINDS, the first words of the pieces that an earlier document has, `edges` what is around the kept occurrence
+    of anchors."""
     row, left, right, word, first, line = split([text])
     if not len(row):
         return text, []
-    bad = []
+    words, bad = word.view(np.int64), []
     for at, (of, begin, end, digest) in zip(flagged, pieces(row, word, first, line), strict=True):
-        again = repeats_within(of, digest) | np.isin(begin, at)
+        within = repeats_within(of, digest)
+        again = within | np.isin(begin, at)
         bad.append(np.cumsum(np.bincount(begin[again], minlength=len(row) + 1) - np.bincount(end[again], minlength=len(row) + 1))[:-1] > 0)
+    # The anchors are the last of the pieces; those that this text itself has earlier are compared with that place.
+    places = {}
+    for at, d, again in zip(begin.tolist(), digest.tolist(), within.tolist(), strict=True):
+        if again:
+            edges = [*edges, {"at": at, **dict(zip(("before", "after"), around(words, places[d]), strict=True))}]
+        else:
+            places[d] = at
+    repeated = bad[UNIT] | bad[ANCHOR]
+    for e in edges:
+        before, after = around(words, e["at"])
+        repeated[e["at"] - common(before, np.asarray(e["before"], dtype=np.int64)) : e["at"]] = True
+        stop = e["at"] + ANCHOR_WORDS
+        repeated[stop : stop + common(after, np.asarray(e["after"], dtype=np.int64))] = True
     gone = bad[LINE]
-    for a, b in runs(bad[UNIT]):
+    for a, b in runs(repeated):
         if b - a >= least:
             gone[a:b] = True
     spans = [(int(left[a]), int(right[b - 1])) for a, b in runs(gone)]
@@ -140,21 +201,40 @@ def dedup(docs: DataFrame, least: int = RUN_WORDS) -> DataFrame:
     Digests have 64 bits. An empty table gives no rows.
     """
     docs = docs.drop("removed_spans")
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    found = materialise(docs.select(doc.alias("doc"), "text").mapInArrow(_hash_units, "digest long, doc long, kind byte, at int"))
-    shared = found.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where(F.col("first") < F.col("last"))
-    shared = materialise(shared.select("digest", "first"))
+    doc, raw = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), F.lit(0).cast("long")
+    keyed = docs.select(doc.alias("doc"), raw.alias("raw"), "text")
+    found = materialise(keyed.mapInArrow(_hash_units, "digest long, doc long, raw long, kind byte, at int"))
+    anchor = F.col("kind") == ANCHOR
+    place = F.struct("doc", F.when(anchor, F.col("raw")).alias("raw"), F.when(anchor, F.col("at")).alias("at"))
+    shared = found.groupBy("digest").agg(F.min(place).alias("place"), F.max("doc").alias("last")).where("place.doc < last")
+    shared = materialise(shared.select("digest", "place"))
     # A digest may be in a third of all documents: both sides are written tables, so that the join can split it.
-    later = found.join(shared, "digest").where(F.col("doc") > F.col("first"))
-    flags = later.groupBy(F.col("doc").alias("__doc")).agg(*(F.collect_list(F.when(F.col("kind") == k, F.col("at"))).alias(f"at{k}") for k in KINDS)).select("__doc", F.array(*(f"at{k}" for k in KINDS)).alias("__pieces"))
+    later = materialise(found.join(shared, "digest").where(F.col("doc") > F.col("place.doc")).select("doc", "raw", "kind", "at", F.when(anchor, F.col("place")).alias("place")))
+    pieces_of = F.array(*(F.collect_list(F.when(F.col("kind") == k, F.col("at"))) for k in KINDS))
+    flags = later.groupBy("doc", "raw").agg(pieces_of.alias("pieces"))
+
+    # Anchors with no other anchor touching them on one side, and what is around their kept occurrences.
+    of_row = Window.partitionBy("doc", "raw").orderBy("at")
+    touching = (F.col("at") - F.lag("at").over(of_row) <= ANCHOR_WORDS) & (F.lead("at").over(of_row) - F.col("at") <= ANCHOR_WORDS)
+    ends = later.where(anchor).withColumn("inner", F.coalesce(touching, F.lit(False))).where("not inner")
+    ends = materialise(ends.select("doc", "raw", F.col("at").alias("here"), F.col("place.doc").alias("s"), F.col("place.raw").alias("t"), F.col("place.at").alias("at")))
+    wanted = ends.groupBy("s", "t").agg(F.collect_set("at").alias("ats"))
+    sources = keyed.join(wanted, (F.col("doc") == F.col("s")) & (F.col("raw") == F.col("t"))).select("doc", "raw", "text", "ats")
+    contexts = materialise(sources.mapInArrow(_contexts, "s long, t long, at int, before array<long>, after array<long>").dropDuplicates(["s", "t", "at"]))
+    edge = F.struct(F.col("here").alias("at"), "before", "after")
+    edges = ends.join(contexts, ["s", "t", "at"]).groupBy("doc", "raw").agg(F.collect_list(edge).alias("edges"))
+    flags = flags.join(edges, ["doc", "raw"], "left").select(F.col("doc").alias("__doc"), F.col("raw").alias("__text"), F.struct("pieces", "edges").alias("__found"))
 
     @F.pandas_udf("text string, removed_spans array<struct<start: long, end: long>>")
-    def remove(texts: pd.Series, flagged: pd.Series) -> pd.DataFrame:
-        rows = [cut(t, [np.asarray(x, dtype=np.int64) for x in ([[]] * len(KINDS) if f is None else f)], least) for t, f in zip(texts, flagged, strict=True)]
+    def remove(texts: pd.Series, found: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for text, pieces, edges in zip(texts, found["pieces"], found["edges"], strict=True):
+            at = [np.asarray(x, dtype=np.int64) for x in ([[]] * len(KINDS) if pieces is None else pieces)]
+            rows.append(cut(text, at, [] if edges is None else list(edges), least))
         return pd.DataFrame({"text": [r[0] for r in rows], "removed_spans": [r[1] for r in rows]})
 
-    joined = docs.withColumn("__key", doc).join(flags, F.col("__key") == F.col("__doc"), "left")
-    out = joined.withColumn("__out", remove("text", "__pieces"))
+    joined = docs.withColumns({"__key": doc, "__raw": raw}).join(flags, (F.col("__key") == F.col("__doc")) & (F.col("__raw") == F.col("__text")), "left")
+    out = joined.withColumn("__out", remove("text", "__found"))
     return out.withColumn("text", F.col("__out.text")).withColumn("removed_spans", F.col("__out.removed_spans")).select(*docs.columns, "removed_spans")
 
 

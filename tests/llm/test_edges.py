@@ -159,6 +159,19 @@ def test_whole_lines_that_recur(spark):
     assert line in out[9] and out[9].endswith("Yes")
 
 
+@pytest.mark.parametrize("n", [30, 55])
+def test_passages_without_sentences(spark, n):
+    fresh = iter(range(10**6))
+    words = lambda k: " ".join(f"word{next(fresh)}" for _ in range(k))
+    passage = words(n)
+    rows = [(1, f"{words(40)} {passage} {words(40)}"), (2, f"{words(23)} {passage} {words(31)}"), (3, f"{words(20)} {passage[: passage.index(' ')]} {words(20)}")]
+    rows += [(4, f"{words(25)} {(twice := words(n))} {words(9)} {twice} {words(25)}")]
+    out = {r["doc_id"]: r["text"] for r in substring.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[1] == rows[0][1] and out[2] == rows[1][1].replace(f"{passage} ", "") and out[3] == rows[2][1]
+    start, end = rows[3][1].index(twice), rows[3][1].rindex(twice)
+    assert start != end and out[4] == rows[3][1][:end] + rows[3][1][end + len(twice) + 1 :]
+
+
 def test_mixing(docs, clashing):
     labels = docs.select("doc_id", F.when(F.col("doc_id") < 6, "good").otherwise("poor").alias("domain"))
     mixed = mixing.mix(clashing, labels, {"good": 0.5, "poor": 0.5}).collect()
