@@ -197,11 +197,12 @@ def dedup(docs: DataFrame, least: int = RUN_WORDS) -> DataFrame:
     """Replace `text` by what is left of it and add removed_spans, the spans removed as offsets in the original.
 
     Null texts stay null, texts without words stay as they are. Rows of one doc_id count as one document when
-    occurrences are ranked; null ids rank first. Other columns are kept; one named removed_spans is replaced.
+    occurrences are ranked, and a piece is cut only from the rows whose text has it; null ids rank first. Other columns are kept; one named removed_spans is replaced.
     Digests have 64 bits. An empty table gives no rows.
     """
     docs = docs.drop("removed_spans")
-    doc, raw = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), F.lit(0).cast("long")
+    # A row is known by its id and its text: rows of one id may have different texts.
+    doc, raw = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), F.xxhash64("text")
     keyed = docs.select(doc.alias("doc"), raw.alias("raw"), "text")
     found = materialise(keyed.mapInArrow(_hash_units, "digest long, doc long, raw long, kind byte, at int"))
     anchor = F.col("kind") == ANCHOR

@@ -172,6 +172,12 @@ def test_passages_without_sentences(spark, n):
     assert start != end and out[4] == rows[3][1][:end] + rows[3][1][end + len(twice) + 1 :]
 
 
+def test_flags_reach_only_their_text(spark):
+    own = "one quiet lake lies under a grey sky while many birds fly over the hills and nobody in the small village by the road knows where they will land tonight or tomorrow morning"
+    df = spark.createDataFrame([(1, LINE), (2, f"{LINE}"), (2, own)], "doc_id long, text string")
+    assert sorted(r["text"] for r in substring.dedup(df).collect()) == sorted([LINE, "", own])
+
+
 def test_mixing(docs, clashing):
     labels = docs.select("doc_id", F.when(F.col("doc_id") < 6, "good").otherwise("poor").alias("domain"))
     mixed = mixing.mix(clashing, labels, {"good": 0.5, "poor": 0.5}).collect()
