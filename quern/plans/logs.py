@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quern.operators import intervals
 from quern.plans.base import query
 from quern.sources.files import table
+from quern.sources.shared import shared_folder
 from quern.streaming import intervals as streams
 
 _MEASURES = "count(*) AS rows, count(value) AS n, round(sum(value), 6) AS total, round(avg(value), 6) AS mean, min(value) AS low, max(value) AS high"
@@ -91,13 +92,20 @@ def i_retention(spark, sf_dir):
 
 
 def _run(spark, sf_dir, make):
-    """The finished table of a stream over the events' file."""
+    """The finished table of a stream over the events' file. Each batch writes the whole table anew, so that intervals the
+    watermark has not passed at the end are in it too."""
     like = _events(spark, sf_dir)
     stream = spark.readStream.schema(like.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    name = f"stream_{uuid.uuid4().hex}"
-    started = make(stream).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    started.awaitTermination()
-    found = spark.table(name)
+    path = f"{shared_folder(spark)}/quern/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    made, last = make(stream), []
+
+    def keep(batch, number):
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        last[:] = [number]
+
+    writer = made.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{path}/checkpoint")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.schema(made.schema).parquet(f"{path}/batch={last[0]}") if last else spark.createDataFrame([], made.schema)
     return _naive(found)
 
 

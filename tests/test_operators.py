@@ -13,6 +13,7 @@ from quern.operators import graph, intervals, mutations, search
 from quern.operators.facets import Facet, count_facets
 from quern.operators.query import NodeQuery
 from quern.operators.relations import Include, include, include_references
+from quern.plans import logs
 from quern.sources.catalog import Catalog, NodeType, Property, Relation
 
 
@@ -219,6 +220,12 @@ def test_stream_equals_batch(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
 
 
+@pytest.mark.parametrize("name", ["stream_sessions", "stream_tumbling", "stream_sliding", "stream_groups"])
+def test_stream_results_are_written_tables(spark, name):
+    found = logs.__dict__[name](spark, "/root/testdata/sf0.001")
+    assert found.inputFiles() and all("/quern/" in f for f in found.inputFiles())
+
+
 def test_tokens_and_terms(spark):
     words = lambda t, **k: one(spark, text.tokens(F.lit(t), **k))
     assert words("Foo;bar it's a B-C near, NEAR", stop_words=["near"]) == ["foobar", "it's"]
