@@ -3,7 +3,9 @@
 Every distinct shingle of five words, weighted by how often it occurs, is a Poisson process whose arrivals fall on
 registers at random; a register keeps the shingle that arrives first. Arrivals come in the order of time, and a
 shingle is left as soon as it is later than all registers of its document. Two registers agree with the probability
-Jaccard similarity of the weighted shingles. Bands of registers give candidate buckets.
+Jaccard similarity of the weighted shingles. Bands of registers give candidate buckets. As plain Jaccard similarity
+links as well, a text in which shingles recur has the bands of its shingles with weight 1 beside those; in a text
+without, both are the same.
 
 In a bucket, members are compared with a leader, not with each other, and classes are joined over the links found
 before the next round. A bucket whose members are one class is done; in the others more members lead, sixteen times
@@ -85,6 +87,17 @@ def bands(kept: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def candidates(row: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int) -> list[list[int]]:
+    """The distinct bands of each of n texts, weighted and plain; none where a text has no shingle."""
+    held = bands(signatures(row, shingle, weight, n)).tolist()
+    some, again = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
+    some[row], again[row[weight > 1]] = True, True
+    mine = again[row]
+    place = np.cumsum(again) - 1
+    plain = bands(signatures(place[row[mine]], shingle[mine], np.ones(mine.sum()), int(again.sum()))).tolist()
+    return [list(dict.fromkeys(held[i] + (plain[place[i]] if again[i] else []))) if some[i] else [] for i in range(n)]
+
+
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """The larger of the probability Jaccard similarity of two weighted sets and the Jaccard similarity of the sets."""
     common, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
@@ -105,8 +118,7 @@ def _sign(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = batch["text"].to_pylist()
         for start, end in batches(texts):
             row, shingle, weight, digests = weighted_shingles(texts[start:end])
-            got, some = bands(signatures(row, shingle, weight, end - start)), np.bincount(row, minlength=end - start) > 0
-            of_texts = pa.array([list(b) if s else [] for b, s in zip(got.tolist(), some, strict=True)], pa.list_(pa.int64()))
+            of_texts = pa.array(candidates(row, shingle, weight, end - start), pa.list_(pa.int64()))
             columns = [batch["doc"][start:end], batch["raw"][start:end], pa.array(digests.view(np.int64)), of_texts]
             yield pa.RecordBatch.from_arrays(columns, ["doc", "raw", "t", "bands"])
 

@@ -130,6 +130,16 @@ def test_near_dedup(docs, clashing):
     assert near_dedup.classes(docs.limit(0)).count() == 0 and near_dedup.keep_first(docs.limit(0)).count() == 0
 
 
+def test_plain_similarity_of_texts_that_differ_in_repeats(spark):
+    rows = []
+    for i in range(8):
+        text = " ".join(f"w{i}x{j}" for j in range(500))
+        line = " ".join(f"w{i}x{j}" for j in range(10, 24))
+        rows += [(2 * i, text), (2 * i + 1, "\n".join([text, *[line] * 100]))]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: d - d % 2 for d, _ in rows}
+
+
 def test_repeated_ids_with_other_texts(spark):
     df = spark.createDataFrame([(5, LINE), (5, "Nothing of the sort, something else entirely."), (5, LINE), (3, LINE)], "doc_id long, text string")
     assert sorted((r["doc_id"], r["text"][:3]) for r in near_dedup.keep_first(df).collect()) == [(3, "the"), (5, "Not")]
