@@ -14,9 +14,10 @@ from quern.llm.common import materialise, table
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learn the languages from the documents that have one; those without a letter, or null, are rejected."""
+    """Learn the languages from the documents that have one; those without a letter, null, or without a
+    part that any language is known by (score 0) are rejected."""
     model = language.learn(docs)
-    return docs.withColumn("__p", language.identify(docs, model)).where(F.col("__p.lang_pred") != language.UNKNOWN).drop("__p")
+    return docs.withColumn("__p", language.identify(docs, model)).where((F.col("__p.lang_pred") != language.UNKNOWN) & (F.col("__p.score") > 0)).drop("__p")
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

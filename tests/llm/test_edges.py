@@ -300,6 +300,12 @@ def test_warc_slices_of_a_hot_url(spark, monkeypatch):
     assert warc.resolve(df).where("outcome = 'resolved'").count() == 320
 
 
+def test_pipeline_rejects_unknown_languages(spark):
+    rows = [(i, LINE, "en") for i in range(4)] + [(8, "ждщ фыв ъэюя жжщщ", None), (9, LINE, None)]
+    kept = corpus_pipeline.keep_known_languages(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 1, 2, 3, 9]
+
+
 def test_pipeline_stages_keep_the_columns(spark, docs):
     for _, stage in corpus_pipeline.STAGES[:3]:
         docs = stage(spark, docs, "/root/testdata/sf0.001")
