@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows that one task ranks together in `gapless`; hot keys are split into buckets of about this size.
 BUCKET_ROWS = 1000
+#: Rows to a part of a narrow table.
+PART_ROWS = 50_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,11 +28,18 @@ def scratch(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/quern/{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared folder and read it back: lineage ends there, and lost executors cost no recomputation."""
+def parts_of(rows: int) -> int:
+    """Parts of a table of so many rows of a few numbers each."""
+    return max(1, -(-rows // PART_ROWS))
+
+
+def materialise(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Write `df` to the shared folder and read it back: lineage ends there, and lost executors cost no recomputation.
+
+    If at most `rows` narrow rows are expected, it is written in as few parts as they need."""
     spark = df.sparkSession
     path = scratch(spark)
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(parts_of(rows))).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -134,7 +134,7 @@ def shingles(hashes: np.ndarray, of: np.ndarray, size: int = 5) -> tuple[np.ndar
     total = np.zeros(len(hashes), dtype=np.uint64)
     for k in range(size):
         part = mix(hashes + np.uint64(k + 1))
-        total[: len(total) - k] += part[k:] if k else part
+        total[: max(0, len(total) - k)] += part[k:]
     keep = np.repeat(counts, counts) - (np.arange(len(of)) - np.repeat(first, counts)) >= size
     out, owner = mix(total[keep]), of[keep]
     short = counts < size
