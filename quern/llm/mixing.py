@@ -2,20 +2,22 @@
 
 A naive Bayes classifier, fitted on a table of labelled documents, gives every document its posterior of each domain.
 Document rates x >= 0 are then fitted by projected gradient descent on least squares, so that the expected tokens of
-each domain, the sum of x times tokens times posterior, match the targets. A step needs one sum per domain over all
-documents; the rates themselves stay on the executors.
+each domain, the sum of x times tokens times posterior, match the targets. A step needs one sum per domain and per pair
+of domains over all documents; the rates themselves stay on the executors.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import warnings
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import materialise, table
+from quern.llm.common import materialise, release, table
 
 #: Most words of each domain's lexicon, how many times likelier than anywhere they must be, and the part of the
 #: domain's documents that must have them; RANGES ranges for each statistic.
@@ -24,13 +26,17 @@ LEXICON, LIFT, SUPPORT, RANGES = 64, 4.0, 0.01, 10
 FIT_ROWS = 20_000
 #: Posteriors are softened by this power.
 TEMPERATURE = 1.0
-STEPS, TOLERANCE, WRITE_EVERY = 60, 1e-4, 10
+#: Each target is met up to this part of it; steps that no targets in reach should need.
+TOLERANCE, STEPS = 1e-4, 60
+#: How little it counts that rates leave 1, against targets.
+EASE = 1e-7
 TARGETS = {"good": 0.90, "poor": 0.08, "toxic": 0.02}
 _CAPITALS, _SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "!$%&#*|"
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[\s.,;:!?]+"), lambda w: w != "")
+    """Runs of letters and digits in lower case."""
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{Nd}]+"), lambda w: w != "")
 
 
 def _ranges(text: Column, words: Column, lexicons: list[list[str]]) -> list[Column]:
@@ -80,6 +86,7 @@ def learn(labelled: DataFrame, domains: list[str], most: int = FIT_ROWS) -> Doma
         [[math.log((seen.get((d, k, i), 0) + 0.5) / (n[j] + 0.5 * RANGES)) for j, d in enumerate(domains)] for i in range(RANGES)]
         for k in range(2 + len(domains))
     ]
+    release(labelled.sparkSession, rows, held)
     return DomainModel(domains, [math.log((x + 1) / (sum(n) + len(n))) for x in n], lexicons, ranges)
 
 
@@ -106,28 +113,57 @@ def posteriors(docs: DataFrame, model: DomainModel) -> DataFrame:
     return docs.withColumn("posterior", F.array(*(p / total for p in powers))).drop("__words", *at, *names)
 
 
-def fit_rates(rows: DataFrame, targets: list[float]) -> tuple[DataFrame, list[float]]:
+def _rate(moved: np.ndarray) -> Column:
+    """The rate of a row after the gradients summed in `moved`: 1 less posterior . moved, projected to 0 or more."""
+    down = F.aggregate(F.zip_with("posterior", _literal(moved.tolist(), "array<double>"), lambda p, m: p * m), F.lit(0.0), lambda s, x: s + x)
+    return F.greatest(F.lit(0.0), 1.0 - down)
+
+
+def fit_rates(rows: DataFrame, targets: list[float], steps: int = STEPS) -> tuple[DataFrame, list[float]]:
     """Add `rate` to `rows`, a written table of (tokens, posterior, ...); `targets` are the tokens wanted of each domain.
 
-    Steps of projected gradient descent on the sum over domains of (tokens - target)^2 / tokens at rate 1, where a
-    step of 1 is safe as posteriors sum to 1; from rate 1, so rates stay as near to it as the targets let them. It ends
-    when all targets are met up to TOLERANCE or after STEPS; returned are also the tokens reached. A domain that no
-    document can be in is left out.
+    Least squares: rates x >= 0 make sum over domains of (tokens - target)^2 / (EASE target) + sum over rows of
+    tokens (x - 1)^2 least, so targets are met but for a small part of EASE, by rates as near to 1 as that lets them be.
+    Projected gradient descent in its lazy form: gradients are summed and the sum is projected. A gradient is a
+    combination of the posteriors, so the sum is one number for each domain. It is scaled by the sum of tokens times
+    posterior times posterior over the rows whose rate is above 0, so a step is right at once but for the rates that
+    meet 0; a step that goes too far is halved. Rows are read once a step and not written. Returned are also the tokens
+    reached; where rates >= 0 cannot meet the targets, those are as near as least squares get.
     """
     k = len(targets)
-    rows = rows.withColumn("rate", F.lit(1.0))
-    size = None
-    for step in range(STEPS + 1):
-        sums = rows.agg(*(F.sum(F.col("rate") * F.col("tokens") * F.col("posterior")[d]).alias(f"d{d}") for d in range(k))).first()
-        reached = [float(sums[d] or 0.0) for d in range(k)]
-        size = size or reached
-        gap = [(reached[d] - targets[d]) / size[d] if size[d] > 0 else 0.0 for d in range(k)]
-        if step == STEPS or all(abs(g) * size[d] <= TOLERANCE * max(targets[d], 1.0) for d, g in enumerate(gap)):
-            return rows, reached
-        move = sum((F.lit(g) * F.col("posterior")[d] for d, g in enumerate(gap)), F.lit(0.0))
-        rows = rows.withColumn("rate", F.greatest(F.lit(0.0), F.col("rate") - move))
-        if step % WRITE_EVERY == WRITE_EVERY - 1:
-            rows = materialise(rows)
+    pairs = [(i, j) for i in range(k) for j in range(i + 1)]
+    wanted = np.array(targets, dtype=float)
+    ease = EASE * np.maximum(wanted, 1.0)
+
+    def state(moved: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """The dual of the sum of squares, the tokens reached, and the scale of the gradient."""
+        p, held = F.col("posterior"), rows.select("tokens", "posterior", _rate(moved).alias("rate"))
+        free = F.when(F.col("rate") > 0, F.col("tokens")).otherwise(F.lit(0))
+        sums = [F.sum(F.col("tokens") * F.col("rate") * F.col("rate"))] + [F.sum(F.col("rate") * F.col("tokens") * p[d]) for d in range(k)] + [F.sum(free * p[i] * p[j]) for i, j in pairs]
+        found = [float(x or 0.0) for x in held.agg(*(x.alias(f"s{n}") for n, x in enumerate(sums))).first()]
+        scale = np.diag(ease)
+        for (i, j), x in zip(pairs, found[k + 1 :], strict=True):
+            scale[i, j] = scale[j, i] = scale[i, j] + x
+        return found[0] / 2 + float(moved @ wanted + (ease * moved * moved).sum() / 2), np.array(found[1 : k + 1]), scale
+
+    moved = np.zeros(k)
+    value, reached, scale = state(moved)
+    for _ in range(steps):
+        slope = reached - wanted - ease * moved
+        if (np.abs(slope) <= TOLERANCE / 10 * np.maximum(wanted, 1.0)).all():
+            break
+        step = np.linalg.solve(scale, slope)
+        part, gain = 1.0, float(slope @ step)
+        while part > 1e-6:
+            new = state(moved + part * step)
+            if new[0] <= value - 1e-4 * part * gain + 1e-12 * abs(value):
+                break
+            part /= 2
+        else:
+            break
+        moved = moved + part * step
+        value, reached, scale = new
+    return rows.withColumn("rate", _rate(moved)), reached.tolist()
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget: float | str | None = None, most: int = FIT_ROWS, without: tuple[str, ...] = ()) -> DataFrame:
@@ -136,6 +172,8 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget:
     `labelled` has (doc_id, domain). The budget is in tokens; by default as many as there are; the name of a domain
     stands for as many as give that domain what it has. copies is the rate rounded up or down by a hash of doc_id, so
     that it is right on average. An empty table gives no rows; texts without words weigh nothing and have rates too.
+    Targets that no rates can meet, as those of a domain in which no document can be, are met as nearly as least
+    squares allow, and a warning says so.
     Columns of these names are replaced; those named in `without` are not returned, nor written in between.
     """
     domains = sorted(targets)
@@ -148,7 +186,11 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget:
     if isinstance(budget, str):
         budget = float(have[f"d{domains.index(budget)}"] or 0.0) * share / targets[budget]
     total = float(have["all"] or 0.0) if budget is None else budget
-    rows, _ = fit_rates(rows, [total * targets[d] / share for d in domains])
+    wanted = [total * targets[d] / share for d in domains]
+    rows, reached = fit_rates(rows, wanted)
+    missed = {d: (r, w) for d, r, w in zip(domains, reached, wanted, strict=True) if abs(r - w) > TOLERANCE * max(w, 1.0)}
+    if missed and total > 0:
+        warnings.warn(f"targets that rates >= 0 cannot meet, as (tokens reached, tokens wanted): {missed}", stacklevel=2)
     chance = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 20)) / (1 << 20)
     return rows.withColumn("copies", F.floor(F.col("rate") + chance).cast("long"))
 

@@ -196,21 +196,49 @@ def test_mixing(docs, clashing):
     assert all(abs(p - 0.5) < 1e-6 for r in mixing.mix(docs, labels.limit(0), {"good": 1, "poor": 1}).collect() for p in r["posterior"])
 
 
-def test_rates_are_projected_least_squares(spark):
+@pytest.mark.parametrize("shares", [(0.6, 0.3, 0.1), (0.98, 0.01, 0.01), (0.02, 0.02, 0.96), (1 / 3, 1 / 3, 1 / 3)])
+def test_rates_are_projected_least_squares(spark, shares):
     rng = np.random.default_rng(5)
-    p, t = rng.dirichlet((0.4, 0.4, 0.4), 300), rng.integers(1, 500, 300)
+    p, t = rng.dirichlet((0.2, 0.2, 0.2), 300), rng.integers(1, 500, 300)
     rows = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(t, p, strict=True)], "tokens long, posterior array<double>")
-    for shares in ((0.6, 0.3, 0.1), (0.98, 0.01, 0.01)):
-        targets = np.array(shares) * t.sum()
-        got, reached = mixing.fit_rates(rows, list(targets))
-        x, size = np.ones(300), (p * t[:, None]).sum(0)
-        for _ in range(mixing.STEPS):
-            gap = ((p * (t * x)[:, None]).sum(0) - targets) / size
-            if (np.abs(gap * size) <= mixing.TOLERANCE * targets).all():
-                break
-            x = np.maximum(0, x - p @ gap)
-        assert reached == pytest.approx((p * (t * x)[:, None]).sum(0).tolist(), rel=1e-6)
-        assert sorted(r["rate"] for r in got.collect()) == pytest.approx(sorted(x), abs=1e-9)
+    targets = np.array(shares) * t.sum()
+    got, reached = mixing.fit_rates(rows, list(targets))
+    assert reached == pytest.approx(targets.tolist(), rel=1e-3)
+    held = [(np.array(r["posterior"]) * r["tokens"] * r["rate"], r["rate"]) for r in got.collect()]
+    assert sum(x for x, _ in held).tolist() == pytest.approx(reached, rel=1e-9) and min(r for _, r in held) >= 0
+
+
+def test_rates_that_cannot_meet_targets(spark):
+    # Both documents are half and half: the least squares of (90 - x)^2 / 90^2 + (10 - x)^2 / 10^2 lie between.
+    rows = spark.createDataFrame([(50, [0.5, 0.5]), (50, [0.5, 0.5])], "tokens long, posterior array<double>")
+    got, reached = mixing.fit_rates(rows, [90.0, 10.0])
+    assert reached[0] == pytest.approx(reached[1]) and 5 <= reached[0] <= 95 and all(r["rate"] >= 0 for r in got.collect())
+    got, reached = mixing.fit_rates(rows, [0.0, 0.0])
+    assert reached == pytest.approx([0, 0], abs=1e-3)
+    assert mixing.fit_rates(rows.limit(0), [1.0, 1.0])[1] == [0, 0]
+
+
+def test_targets_are_met_on_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = mixing.label_domains(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
+    rows = mixing.mix(docs, labels, mixing.TARGETS).select("tokens", "posterior", "rate").collect()
+    total, reached = sum(r["tokens"] for r in rows), np.sum([np.array(r["posterior"]) * r["tokens"] * r["rate"] for r in rows], axis=0)
+    assert (reached / total).tolist() == pytest.approx([mixing.TARGETS[d] for d in sorted(mixing.TARGETS)], rel=1e-3)
+
+
+def test_posteriors_are_naive_bayes(spark):
+    """The posteriors against the plain formula in Python."""
+    rows = [(i, t) for i, t in enumerate(["one fine day", "YOU ARE A MORON", "buy $$$ now!!", "", None, "moron moron day"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = mixing.DomainModel(["a", "b"], [math.log(0.7), math.log(0.3)], [["day", "fine"], ["moron"]], [[[math.log(0.1 + 0.01 * i + 0.02 * k), math.log(0.2 + 0.03 * i)] for i in range(mixing.RANGES)] for k in range(4)])
+    for r in mixing.posteriors(df, model).collect():
+        text = r["text"] or ""
+        words = set(filter(None, "".join(c if c.isalnum() else " " for c in text.lower()).split()))
+        shares = [sum(c in s for c in text) / max(len(text), 1) for s in (mixing._CAPITALS, mixing._SYMBOLS)]
+        at = [min(int(x * 2 * mixing.RANGES), mixing.RANGES - 1) for x in shares] + [len(words & set(x)) for x in model.lexicons]
+        score = [model.prior[d] + (sum(model.ranges[k][i][d] for k, i in enumerate(at)) if words else 0) for d in range(2)]
+        want = np.exp(score) / np.exp(score).sum()
+        assert r["posterior"] == pytest.approx(want.tolist(), rel=1e-9), text
 
 
 VECTORS = "vec_id long, embedding array<float>"
