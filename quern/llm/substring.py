@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import materialise, table
+from quern.llm.common import materialise, release, table
 from quern.llm.text import batches, blocks, codes, fold, kinds, mix, span_hashes
 
 #: Words that a run of repeated units must have to be removed.
@@ -35,6 +35,7 @@ LINE_WORDS = 4
 #: Words of an anchor, and runs of so many words of which the one of least hash is an anchor.
 ANCHOR_WORDS = WINDOW = 15
 KINDS = UNIT, LINE, ANCHOR = 0, 1, 2
+WITHIN = 3
 _LINE_END = re.compile("\n")
 _STOPS = np.array([ord(c) for c in ".!?…。！？"], dtype=np.uint32)
 _BLANKS = np.array([ord(c) for c in " \t\n\r"], dtype=np.uint32)
@@ -103,26 +104,34 @@ def pieces(row: np.ndarray, word: np.ndarray, first: np.ndarray, line: np.ndarra
     return found
 
 
-def repeats_within(row: np.ndarray, digest: np.ndarray) -> np.ndarray:
-    """Which units occur earlier in the same row."""
-    again = np.ones(len(row), dtype=bool)
+def first_places(row: np.ndarray, digest: np.ndarray) -> np.ndarray:
+    """For each piece, the index of the first of that digest in the same row."""
     order = np.lexsort((np.arange(len(row)), digest, row))
     r, d = row[order], digest[order]
-    again[order[np.concatenate([[True], (r[1:] != r[:-1]) | (d[1:] != d[:-1])]) if len(order) else order]] = False
-    return again
+    fresh = np.ones(len(row), dtype=bool)
+    fresh[1:] = (r[1:] != r[:-1]) | (d[1:] != d[:-1])
+    out = np.zeros(len(row), dtype=np.int64)
+    out[order] = order[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]] if len(row) else order
+    return out
 
 
 def _hash_units(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pieces of each text, each once; and a row of kind WITHIN for a text in which some piece recurs."""
     for batch in found:
         texts, docs, raws = batch["text"].to_pylist(), *(np.array(batch[c].to_pylist(), dtype=np.int64) for c in ("doc", "raw"))
         for start, end in batches(texts):
             row, _, _, word, first, line = split(texts[start:end])
-            base = np.searchsorted(row, np.arange(end - start))
+            base, recurs = np.searchsorted(row, np.arange(end - start)), np.zeros(end - start, dtype=bool)
+            held = []
             for kind, (of, begin, _, digest) in enumerate(pieces(row, word, first, line)):
-                keep = ~repeats_within(of, digest)
-                of, at = of[keep], (begin - base[of])[keep]
-                columns = [digest[keep].view(np.int64), docs[start:end][of], raws[start:end][of], np.full(len(of), kind, dtype=np.int8), at.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["digest", "doc", "raw", "kind", "at"])
+                again = first_places(of, digest) != np.arange(len(of))
+                recurs[of[again]] = True
+                of, at, digest = of[~again], (begin - base[of])[~again], digest[~again]
+                held.append((digest.view(np.int64), of, np.full(len(of), kind, dtype=np.int8), at.astype(np.int32)))
+            of = np.flatnonzero(recurs)
+            held.append((np.zeros(len(of), dtype=np.int64), of, np.full(len(of), WITHIN, dtype=np.int8), np.zeros(len(of), dtype=np.int32)))
+            digest, of, kind, at = (np.concatenate(x) for x in zip(*held, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (digest, docs[start:end][of], raws[start:end][of], kind, at)], ["digest", "doc", "raw", "kind", "at"])
 
 
 def _contexts(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,47 +159,65 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
     return int(other[0]) if len(other) else n
 
 
-def cut(text: str | None, flagged: list[np.ndarray], edges: list[dict], least: int) -> tuple[str | None, list[dict]]:
-    """The text without its repeated lines and its runs of repeated words, and the spans removed; `flagged` has, for each
-    of the KINDS, the first words of the pieces that an earlier document has, `edges` what is around the kept occurrence
-    of anchors."""
-    row, left, right, word, first, line = split([text])
-    if not len(row):
-        return text, []
-    words, bad = word.view(np.int64), []
-    for at, (of, begin, end, digest) in zip(flagged, pieces(row, word, first, line), strict=True):
-        within = repeats_within(of, digest)
-        again = within | np.isin(begin, at)
+def cut(texts: list[str | None], flagged: list[list[np.ndarray]], edges: list[list[dict]], least: int) -> list[tuple[str | None, list[dict]]]:
+    """Each text without its repeated lines and its runs of repeated words, and the spans removed; `flagged` has, for each
+    text and each of the KINDS, the first words of the pieces that an earlier document has, `edges` what is around the
+    kept occurrences of anchors."""
+    row, left, right, word, first, line = split(texts)
+    words, base = word.view(np.int64), np.searchsorted(row, np.arange(len(texts) + 1))
+    ends = [(base[i], base[i + 1]) for i in range(len(texts))]
+    marks, bad = [], []
+    for kind in KINDS:
+        sizes = [len(f[kind]) for f in flagged]
+        marks.append(np.concatenate([f[kind] for f in flagged] or [np.zeros(0, np.int64)]).astype(np.int64) + np.repeat(base[:-1], sizes))
+    for at, (of, begin, end, digest) in zip(marks, pieces(row, word, first, line), strict=True):
+        known = np.zeros(len(row) + 1, dtype=bool)
+        known[at] = True
+        place = first_places(of, digest)
+        within = place != np.arange(len(of))
+        again = within | known[begin]
         bad.append(np.cumsum(np.bincount(begin[again], minlength=len(row) + 1) - np.bincount(end[again], minlength=len(row) + 1))[:-1] > 0)
-    # The anchors are the last of the pieces; those that this text itself has earlier are compared with that place.
-    places = {}
-    for at, d, again in zip(begin.tolist(), digest.tolist(), within.tolist(), strict=True):
-        if again:
-            edges = [*edges, {"at": at, **dict(zip(("before", "after"), around(words, places[d]), strict=True))}]
-        else:
-            places[d] = at
     repeated = bad[UNIT] | bad[ANCHOR]
-    for e in edges:
-        before, after = around(words, e["at"])
-        repeated[e["at"] - common(before, np.asarray(e["before"], dtype=np.int64)) : e["at"]] = True
-        stop = e["at"] + ANCHOR_WORDS
-        repeated[stop : stop + common(after, np.asarray(e["after"], dtype=np.int64))] = True
+
+    def extend(i: int, at: int, before: np.ndarray, after: np.ndarray) -> None:
+        """Passages go on around the anchor at a word of text i as far as its words are those around the kept occurrence."""
+        a, b = ends[i]
+        mine, other = around(words[a:b], at - a)
+        repeated[at - common(mine, before) : at] = True
+        repeated[at + ANCHOR_WORDS : at + ANCHOR_WORDS + common(other, after)] = True
+
+    # The anchors are the last of the pieces; those that a text itself has earlier are compared with that place.
+    for k in np.flatnonzero(within).tolist():
+        i = int(of[k])
+        extend(i, int(begin[k]), *around(words[ends[i][0] : ends[i][1]], int(begin[place[k]] - ends[i][0])))
+    for i, some in enumerate(edges):
+        for e in some:
+            extend(i, int(ends[i][0]) + e["at"], *(np.asarray(e[c], dtype=np.int64) for c in ("before", "after")))
     gone = bad[LINE]
-    for a, b in runs(repeated):
+    for a, b in runs(repeated, row):
         if b - a >= least:
             gone[a:b] = True
-    spans = [(int(left[a]), int(right[b - 1])) for a, b in runs(gone)]
-    kept, at = [], 0
-    for start, end in spans:
-        kept.append(text[at:start])
-        at = end
-    return "".join([*kept, text[at:]]), [{"start": s, "end": e} for s, e in spans]
-
-
-def runs(mask: np.ndarray) -> list[tuple[int, int]]:
-    """Start and end of each run of true values."""
-    change = np.diff(np.concatenate([[0], mask.astype(np.int8), [0]]))
-    return list(zip(np.flatnonzero(change == 1).tolist(), np.flatnonzero(change == -1).tolist(), strict=True))
+    spans: list[list[tuple[int, int]]] = [[] for _ in texts]
+    for a, b in runs(gone, row):
+        spans[row[a]].append((int(left[a]), int(right[b - 1])))
+    out = []
+    for text, mine in zip(texts, spans, strict=True):
+        kept, at = [], 0
+        for start, end in mine:
+            kept.append(text[at:start])
+            at = end
+        out.append(("".join([*kept, text[at:]]) if mine else text, [{"start": s, "end": e} for s, e in mine]))
+    return out
+
+
+def runs(mask: np.ndarray, row: np.ndarray) -> list[tuple[int, int]]:
+    """Start and end of each run of true values within a row."""
+    if not len(mask):
+        return []
+    fresh = np.concatenate([[True], row[1:] != row[:-1]])
+    starts = np.flatnonzero(mask & (fresh | ~np.concatenate([[False], mask[:-1]])))
+    ends = np.flatnonzero(mask & np.append(fresh[1:] | ~mask[1:], True)) + 1
+    return list(zip(starts.tolist(), ends.tolist(), strict=True))
 
 
 def dedup(docs: DataFrame, least: int = RUN_WORDS) -> DataFrame:
@@ -200,17 +227,20 @@ def dedup(docs: DataFrame, least: int = RUN_WORDS) -> DataFrame:
     occurrences are ranked, and a piece is cut only from the rows whose text has it; null ids rank first. Other columns are kept; one named removed_spans is replaced.
     Digests have 64 bits. An empty table gives no rows.
     """
-    docs = docs.drop("removed_spans")
+    spark, columns = docs.sparkSession, [c for c in docs.columns if c != "removed_spans"]
     # A row is known by its id and its text: rows of one id may have different texts.
-    doc, raw = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), F.xxhash64("text")
-    keyed = docs.select(doc.alias("doc"), raw.alias("raw"), "text")
+    doc, raw = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), F.xxhash64("text").alias("raw")
+    keyed = docs.select(doc, raw, "text")
     found = materialise(keyed.mapInArrow(_hash_units, "digest long, doc long, raw long, kind byte, at int"))
     anchor = F.col("kind") == ANCHOR
     place = F.struct("doc", F.when(anchor, F.col("raw")).alias("raw"), F.when(anchor, F.col("at")).alias("at"))
-    shared = found.groupBy("digest").agg(F.min(place).alias("place"), F.max("doc").alias("last")).where("place.doc < last")
+    parted = found.where(F.col("kind") != WITHIN)
+    shared = parted.groupBy("digest").agg(F.min(place).alias("place"), F.max("doc").alias("last")).where("place.doc < last")
     shared = materialise(shared.select("digest", "place"))
-    # A digest may be in a third of all documents: both sides are written tables, so that the join can split it.
-    later = materialise(found.join(shared, "digest").where(F.col("doc") > F.col("place.doc")).select("doc", "raw", "kind", "at", F.when(anchor, F.col("place")).alias("place")))
+    # A digest may be in a third of all documents: both sides are written tables, so that adaptive execution, which must
+    # be on, splits the join there.
+    later = parted.join(shared, "digest").where(F.col("doc") > F.col("place.doc")).select("doc", "raw", "kind", "at", F.when(anchor, F.col("place")).alias("place"))
+    later = materialise(later.unionByName(found.where(F.col("kind") == WITHIN).select("doc", "raw", "kind", "at", F.lit(None).cast("struct<doc: long, raw: long, at: int>").alias("place"))))
     pieces_of = F.array(*(F.collect_list(F.when(F.col("kind") == k, F.col("at"))) for k in KINDS))
     flags = later.groupBy("doc", "raw").agg(pieces_of.alias("pieces"))
 
@@ -224,19 +254,27 @@ def dedup(docs: DataFrame, least: int = RUN_WORDS) -> DataFrame:
     contexts = materialise(sources.mapInArrow(_contexts, "s long, t long, at int, before array<long>, after array<long>").dropDuplicates(["s", "t", "at"]))
     edge = F.struct(F.col("here").alias("at"), "before", "after")
     edges = ends.join(contexts, ["s", "t", "at"]).groupBy("doc", "raw").agg(F.collect_list(edge).alias("edges"))
-    flags = flags.join(edges, ["doc", "raw"], "left").select(F.col("doc").alias("__doc"), F.col("raw").alias("__text"), F.struct("pieces", "edges").alias("__found"))
+    flags = materialise(flags.join(edges, ["doc", "raw"], "left").select("doc", "raw", F.struct("pieces", "edges").alias("found")))
+    release(spark, found, shared, later, ends, contexts)
 
     @F.pandas_udf("text string, removed_spans array<struct<start: long, end: long>>")
     def remove(texts: pd.Series, found: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for text, pieces, edges in zip(texts, found["pieces"], found["edges"], strict=True):
-            at = [np.asarray(x, dtype=np.int64) for x in ([[]] * len(KINDS) if pieces is None else pieces)]
-            rows.append(cut(text, at, [] if edges is None else list(edges), least))
+        rows = [(text, []) for text in texts]
+        # A text in which nothing recurs, here or elsewhere, is not looked at again.
+        some = np.flatnonzero(found["pieces"].notna().to_numpy())
+        held = texts.to_numpy()[some]
+        for start, end in batches(held.tolist()):
+            mine = found.iloc[some[start:end]]
+            at = [[np.asarray(x, dtype=np.int64) for x in p] for p in mine["pieces"]]
+            done = cut(held[start:end].tolist(), at, [[] if e is None else list(e) for e in mine["edges"]], least)
+            for i, row in zip(some[start:end].tolist(), done, strict=True):
+                rows[i] = row
         return pd.DataFrame({"text": [r[0] for r in rows], "removed_spans": [r[1] for r in rows]})
 
-    joined = docs.withColumns({"__key": doc, "__raw": raw}).join(flags, (F.col("__key") == F.col("__doc")) & (F.col("__raw") == F.col("__text")), "left")
-    out = joined.withColumn("__out", remove("text", "__found"))
-    return out.withColumn("text", F.col("__out.text")).withColumn("removed_spans", F.col("__out.removed_spans")).select(*docs.columns, "removed_spans")
+    keyed = docs.select(F.struct(*columns).alias("row"), doc, raw)
+    out = keyed.join(flags, ["doc", "raw"], "left").select("row", remove(F.col("row.text"), F.col("found")).alias("out"))
+    kept = [F.col("out.text").alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in columns]
+    return out.select(*kept, F.col("out.removed_spans").alias("removed_spans"))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -152,6 +152,7 @@ def test_substring(docs, clashing):
     assert (span["start"], span["end"]) == (20, 20 + len(LINE))
     assert rows[3]["text"] is None and rows[4]["text"] == "" and rows[5]["text"] == "12 34 !!" and rows[6]["text"] == "Same text here and there."
     assert substring.dedup(clashing).count() == 11 and substring.dedup(docs.limit(0)).count() == 0
+    assert {r["__key"] for r in substring.dedup(clashing).collect()} == {"mine"} and {r["raw"] for r in substring.dedup(clashing).collect()} == {"mine"}
 
 
 def test_passage_inside_a_line(spark):
@@ -182,6 +183,23 @@ def test_passages_without_sentences(spark, n):
     assert start != end and out[4] == rows[3][1][:end] + rows[3][1][end + len(twice) + 1 :]
 
 
+def test_lines_against_a_plain_loop(spark):
+    """Whole lines alone: the first document that has a line keeps its first occurrence, all others go."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows, seen, want = sorted(tuple(r) for r in docs.collect()), {}, {}
+    for doc, text in rows:
+        kept, here = [], set()
+        for line in text.split("\n"):
+            words = tuple("".join(c.lower() if c.isalnum() else " " for c in line).split())
+            if len(words) >= substring.LINE_WORDS and (words in here or seen.setdefault(words, doc) != doc):
+                continue
+            here.add(words)
+            kept.append(words)
+        want[doc] = [w for line in kept for w in line]
+    got = {r["doc_id"]: "".join(c.lower() if c.isalnum() else " " for c in r["text"]).split() for r in substring.dedup(docs, least=10**9).collect()}
+    assert got == want
+
+
 def test_flags_reach_only_their_text(spark):
     own = "one quiet lake lies under a grey sky while many birds fly over the hills and nobody in the small village by the road knows where they will land tonight or tomorrow morning"
     df = spark.createDataFrame([(1, LINE), (2, f"{LINE}"), (2, own)], "doc_id long, text string")
