@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.llm.common import materialise, table
-from quern.llm.text import blocks, codes, fold, kinds, mix
+from quern.llm.text import blocks, codes, fold, kinds, mix, slices
 
 UNKNOWN = "und"
 #: Positions of the filter, a power of 2; positions of each n-gram; languages to a 64-bit slice.
@@ -146,10 +146,14 @@ def identify(docs: DataFrame, model: LanguageFilter, text: str = "text") -> Colu
     """
     held = docs.sparkSession.sparkContext.broadcast(model)  # POSITIONS masks to a slice
 
-    @F.pandas_udf("lang_pred string, score double")
-    def predict(texts: pd.Series) -> pd.DataFrame:
-        names, score = held.value.predict(texts.tolist())
-        return pd.DataFrame({"lang_pred": names, "score": score})
+    @F.arrow_udf("lang_pred string, score double")
+    def predict(texts: pa.Array) -> pa.Array:
+        names, scores = [], [np.zeros(0)]
+        for _, _, some in slices(texts):
+            name, score = held.value.predict(some)
+            names += name
+            scores.append(score)
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate(scores))], ["lang_pred", "score"])
 
     return predict(F.col(text))
 

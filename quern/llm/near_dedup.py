@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import materialise, release, table
 from quern.llm.components import components
-from quern.llm.text import batches, blocks, fold, mix, shingles, span_hashes, words
+from quern.llm.text import blocks, fold, mix, shingles, slices, span_hashes, words
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, BAND_ROWS = 16, 4
@@ -115,9 +115,8 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 def _sign(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in found:
-        texts = batch["text"].to_pylist()
-        for start, end in batches(texts):
-            row, shingle, weight, digests = weighted_shingles(texts[start:end])
+        for start, end, texts in slices(batch["text"]):
+            row, shingle, weight, digests = weighted_shingles(texts)
             of_texts = pa.array(candidates(row, shingle, weight, end - start), pa.list_(pa.int64()))
             columns = [batch["doc"][start:end], batch["raw"][start:end], pa.array(digests.view(np.int64)), of_texts]
             yield pa.RecordBatch.from_arrays(columns, ["doc", "raw", "t", "bands"])
@@ -138,10 +137,10 @@ def _with_leader(threshold: float):
     def links(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leader, held = None, None
         for batch in found:
-            texts, names, leaders = batch["text"].to_pylist(), batch["t"].to_pylist(), batch["l"].to_pylist()
-            for start, end in batches(texts):
+            names, leaders = batch["t"].to_pylist(), batch["l"].to_pylist()
+            for start, _, texts in slices(batch["text"]):
                 pairs = []
-                for i, mine in enumerate(_each_set(texts[start:end]), start):
+                for i, mine in enumerate(_each_set(texts), start):
                     if names[i] == leaders[i]:
                         leader, held = names[i], mine
                     elif leaders[i] == leader and similarity(held, mine) >= threshold:
@@ -178,9 +177,9 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
 def _explode(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The shingles of each text (t, label), each with its part of the text's weight, the number of all and whether all weights are 1."""
     for batch in found:
-        texts, names, labels = batch["text"].to_pylist(), *(np.array(batch[c].to_pylist(), dtype=np.int64) for c in ("t", "label"))
-        for start, end in batches(texts):
-            row, shingle, weight, _ = weighted_shingles(texts[start:end])
+        names, labels = (np.array(batch[c].to_pylist(), dtype=np.int64) for c in ("t", "label"))
+        for start, end, texts in slices(batch["text"]):
+            row, shingle, weight, _ = weighted_shingles(texts)
             n, total = np.bincount(row, minlength=end - start), np.bincount(row, weight, minlength=end - start)
             columns = [names[start:end][row], labels[start:end][row], shingle.view(np.int64), weight / total[row], n[row].astype(np.int32), (total == n)[row]]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["t", "label", "shingle", "share", "n", "flat"])

@@ -20,13 +20,13 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.llm.common import materialise, release, table
-from quern.llm.text import batches, blocks, codes, fold, kinds, mix, span_hashes
+from quern.llm.text import blocks, codes, fold, kinds, mix, slices, span_hashes
 
 #: Words that a run of repeated units must have to be removed.
 RUN_WORDS = 30
@@ -118,9 +118,9 @@ def first_places(row: np.ndarray, digest: np.ndarray) -> np.ndarray:
 def _hash_units(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pieces of each text, each once; and a row of kind WITHIN for a text in which some piece recurs."""
     for batch in found:
-        texts, docs, raws = batch["text"].to_pylist(), *(np.array(batch[c].to_pylist(), dtype=np.int64) for c in ("doc", "raw"))
-        for start, end in batches(texts):
-            row, _, _, word, first, line = split(texts[start:end])
+        docs, raws = (np.array(batch[c].to_pylist(), dtype=np.int64) for c in ("doc", "raw"))
+        for start, end, texts in slices(batch["text"]):
+            row, _, _, word, first, line = split(texts)
             base, recurs = np.searchsorted(row, np.arange(end - start)), np.zeros(end - start, dtype=bool)
             held = []
             for kind, (of, begin, _, digest) in enumerate(pieces(row, word, first, line)):
@@ -137,9 +137,9 @@ def _hash_units(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _contexts(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The words before each anchor, the nearest first, and those after it, as far as a passage can go on."""
     for batch in found:
-        texts, docs, raws, wanted = (batch[c].to_pylist() for c in ("text", "doc", "raw", "ats"))
-        for start, end in batches(texts):
-            row, _, _, word, _, _ = split(texts[start:end])
+        docs, raws, wanted = (batch[c].to_pylist() for c in ("doc", "raw", "ats"))
+        for start, end, texts in slices(batch["text"]):
+            row, _, _, word, _, _ = split(texts)
             base = np.searchsorted(row, np.arange(end - start + 1))
             held = []
             for i in range(end - start):
@@ -233,14 +233,14 @@ def dedup(docs: DataFrame, least: int = RUN_WORDS) -> DataFrame:
     keyed = docs.select(doc, raw, "text")
     found = materialise(keyed.mapInArrow(_hash_units, "digest long, doc long, raw long, kind byte, at int"))
     anchor = F.col("kind") == ANCHOR
-    place = F.struct("doc", F.when(anchor, F.col("raw")).alias("raw"), F.when(anchor, F.col("at")).alias("at"))
     parted = found.where(F.col("kind") != WITHIN)
-    shared = parted.groupBy("digest").agg(F.min(place).alias("place"), F.max("doc").alias("last")).where("place.doc < last")
-    shared = materialise(shared.select("digest", "place"))
+    shared = parted.groupBy("digest").agg(F.min("doc").alias("s"), F.max("doc").alias("last")).where("s < last")
+    shared = materialise(shared.select("digest", "s"))
     # A digest may be in a third of all documents: both sides are written tables, so that adaptive execution, which must
     # be on, splits the join there.
-    later = parted.join(shared, "digest").where(F.col("doc") > F.col("place.doc")).select("doc", "raw", "kind", "at", F.when(anchor, F.col("place")).alias("place"))
-    later = materialise(later.unionByName(found.where(F.col("kind") == WITHIN).select("doc", "raw", "kind", "at", F.lit(None).cast("struct<doc: long, raw: long, at: int>").alias("place"))))
+    later = parted.join(shared, "digest").where((F.col("doc") > F.col("s")) | anchor).select("digest", "doc", "raw", "kind", "at", "s")
+    met = materialise(later.unionByName(found.where(F.col("kind") == WITHIN).withColumn("s", F.lit(None).cast("long"))))
+    later = met.where(F.col("s").isNull() | (F.col("doc") > F.col("s")))
     pieces_of = F.array(*(F.collect_list(F.when(F.col("kind") == k, F.col("at"))) for k in KINDS))
     flags = later.groupBy("doc", "raw").agg(pieces_of.alias("pieces"))
 
@@ -248,28 +248,33 @@ def dedup(docs: DataFrame, least: int = RUN_WORDS) -> DataFrame:
     of_row = Window.partitionBy("doc", "raw").orderBy("at")
     touching = (F.col("at") - F.lag("at").over(of_row) <= ANCHOR_WORDS) & (F.lead("at").over(of_row) - F.col("at") <= ANCHOR_WORDS)
     ends = later.where(anchor).withColumn("inner", F.coalesce(touching, F.lit(False))).where("not inner")
-    ends = materialise(ends.select("doc", "raw", F.col("at").alias("here"), F.col("place.doc").alias("s"), F.col("place.raw").alias("t"), F.col("place.at").alias("at")))
+    places = met.where(anchor & (F.col("doc") == F.col("s"))).groupBy("digest").agg(F.min(F.struct("raw", "at")).alias("place"))
+    ends = ends.select("doc", "raw", F.col("at").alias("here"), "s", "digest").join(places, "digest")
+    ends = materialise(ends.select("doc", "raw", "here", "s", F.col("place.raw").alias("t"), F.col("place.at").alias("at")))
     wanted = ends.groupBy("s", "t").agg(F.collect_set("at").alias("ats"))
     sources = keyed.join(wanted, (F.col("doc") == F.col("s")) & (F.col("raw") == F.col("t"))).select("doc", "raw", "text", "ats")
     contexts = materialise(sources.mapInArrow(_contexts, "s long, t long, at int, before array<long>, after array<long>").dropDuplicates(["s", "t", "at"]))
     edge = F.struct(F.col("here").alias("at"), "before", "after")
     edges = ends.join(contexts, ["s", "t", "at"]).groupBy("doc", "raw").agg(F.collect_list(edge).alias("edges"))
     flags = materialise(flags.join(edges, ["doc", "raw"], "left").select("doc", "raw", F.struct("pieces", "edges").alias("found")))
-    release(spark, found, shared, later, ends, contexts)
+    release(spark, found, shared, met, ends, contexts)
 
-    @F.pandas_udf("text string, removed_spans array<struct<start: long, end: long>>")
-    def remove(texts: pd.Series, found: pd.DataFrame) -> pd.DataFrame:
-        rows = [(text, []) for text in texts]
+    @F.arrow_udf("text string, removed_spans array<struct<start: long, end: long>>")
+    def remove(texts: pa.Array, found: pa.Array) -> pa.Array:
         # A text in which nothing recurs, here or elsewhere, is not looked at again.
-        some = np.flatnonzero(found["pieces"].notna().to_numpy())
-        held = texts.to_numpy()[some]
-        for start, end in batches(held.tolist()):
-            mine = found.iloc[some[start:end]]
-            at = [[np.asarray(x, dtype=np.int64) for x in p] for p in mine["pieces"]]
-            done = cut(held[start:end].tolist(), at, [[] if e is None else list(e) for e in mine["edges"]], least)
-            for i, row in zip(some[start:end].tolist(), done, strict=True):
-                rows[i] = row
-        return pd.DataFrame({"text": [r[0] for r in rows], "removed_spans": [r[1] for r in rows]})
+        some = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
+        new: list[str | None] = []
+        spans: list[list[dict]] = [[] for _ in range(len(texts))]
+        for start, end, mine in slices(texts.take(pa.array(some))):
+            flags = found.take(pa.array(some[start:end])).to_pylist()
+            at = [[np.asarray(x, dtype=np.int64) for x in f["pieces"]] for f in flags]
+            for i, (text, removed) in zip(some[start:end].tolist(), cut(mine, at, [f["edges"] or [] for f in flags], least), strict=True):
+                new.append(text)
+                spans[i] = removed
+        mask = np.zeros(len(texts), dtype=bool)
+        mask[some] = True
+        kept = pc.replace_with_mask(texts, pa.array(mask), pa.array(new, texts.type))
+        return pa.StructArray.from_arrays([kept, pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], ["text", "removed_spans"])
 
     keyed = docs.select(F.struct(*columns).alias("row"), doc, raw)
     out = keyed.join(flags, ["doc", "raw"], "left").select("row", remove(F.col("row.text"), F.col("found")).alias("out"))

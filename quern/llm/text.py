@@ -7,6 +7,8 @@ from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Characters handled at a time; a longer text is taken in parts that end at white space.
 BLOCK = 500_000
@@ -52,17 +54,22 @@ def blocks(texts: Sequence[str | None], cut: re.Pattern = _SPACE) -> Iterator[tu
         yield parts, np.array(rows), np.array(offsets)
 
 
-def batches(texts: Sequence[str | None], rows: int = 1000, chars: int = 1_000_000) -> Iterator[tuple[int, int]]:
-    """Slices (start, end) of the texts, of a bounded number of texts and, but for single long ones, of characters."""
+def batches(sizes: Sequence[int], rows: int = 1000, chars: int = 200_000) -> Iterator[tuple[int, int]]:
+    """Slices (start, end) of texts of these sizes, of a bounded number of texts and, but for single long ones, of characters."""
     start, held = 0, 0
-    for i, text in enumerate(texts):
-        n = len(text or "")
+    for i, n in enumerate(sizes):
         if i > start and (i - start == rows or held + n > chars):
             yield start, i
             start, held = i, 0
         held += n
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
+def slices(texts: pa.Array) -> Iterator[tuple[int, int, list[str | None]]]:
+    """`batches` of an array of texts, of which only one slice at a time is held as Python strings."""
+    for start, end in batches(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        yield start, end, texts[start:end].to_pylist()
 
 
 @lru_cache
