@@ -13,14 +13,17 @@ from datetime import datetime, timedelta
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.functions.ranges import date_ranges, duration_ranges, number_ranges
+from quern.functions.ranges import POWER, date_ranges, duration_ranges, number_ranges
+from quern.sources.shared import numbered
 
 #: Numbers and times with more distinct values than this are counted in ranges.
 MOST_VALUES, RANGES = 25, 10
+#: Estimates of distinct values are that far off at most, in parts of them: nearer to MOST_VALUES they are counted.
+ESTIMATE, DOUBT = 0.05, 0.5
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 TIMES = (T.TimestampType, T.TimestampNTZType, T.DayTimeIntervalType)
 
@@ -30,8 +33,9 @@ class Facet:
     """What is counted of one column, and what is selected of it.
 
     Without values or ranges of its own, a column of numbers or times is counted in ranges if it has more than
-    MOST_VALUES distinct values or if `range_count` is given, else by value. `names` are those of numbers that stand
-    for names. Nulls are the missing bucket.
+    MOST_VALUES distinct values or if `range_count` is given, else by value. `power` bends the widths of ranges: without
+    one, lower ranges of numbers and durations are finer and those of times are even. `names` are those of numbers that
+    stand for names. Nulls are the missing bucket.
     """
 
     column: str
@@ -46,7 +50,7 @@ class Facet:
     include_missing: bool = True
     sort_by_count: bool = False
     range_count: int = 0
-    power: float = 1.8
+    power: float | None = None
     names: dict[int, str] = field(default_factory=dict)
 
     def number(self, value: Any) -> Any:
@@ -73,11 +77,12 @@ class Facets:
     buckets: DataFrame
 
 
-def _make_ranges(low: Any, high: Any, wanted: int, power: float, kind: T.DataType) -> list[tuple[Any, Any]]:
+def _make_ranges(low: Any, high: Any, wanted: int, power: float | None, kind: T.DataType) -> list[tuple[Any, Any]]:
     if isinstance(low, datetime):
-        return date_ranges(low, high, wanted)
+        return date_ranges(low, high, wanted, 1.0 if power is None else power)
+    power = POWER if power is None else power
     if isinstance(low, timedelta):
-        return duration_ranges(low, high, wanted)
+        return duration_ranges(low, high, wanted, power)
     whole = isinstance(kind, T.IntegralType)
     return number_ranges(low if whole else float(low), high if whole else float(high), wanted, power, whole)
 
@@ -91,9 +96,12 @@ def _resolve(df: DataFrame, facets: list[Facet]) -> dict[str, list[tuple[Any, An
         c = F.col(f.column)
         exprs += [F.min(c).alias(f"low_{f.column}"), F.max(c).alias(f"high_{f.column}")]
         if f.kind == "auto" and not f.range_count:
-            # Exact up to the bound that matters.
-            exprs.append(F.count_distinct(c).alias(f"n_{f.column}"))
+            exprs.append(F.approx_count_distinct(c, ESTIMATE).alias(f"n_{f.column}"))
     known = df.agg(*exprs).first().asDict() if exprs else {}
+    # Only columns whose estimate is near the bound are counted exactly.
+    near = [c for c, n in known.items() if c.startswith("n_") and MOST_VALUES * (1 - DOUBT) <= n <= MOST_VALUES * (1 + DOUBT)]
+    if near:
+        known |= df.agg(*(F.count_distinct(F.col(c[2:])).alias(c) for c in near)).first().asDict()
     out: dict[str, list[tuple[Any, Any]] | None] = {}
     for f in facets:
         out[f.column] = f.ranges or None
@@ -114,8 +122,11 @@ def count_facets(df: DataFrame, facets: list[Facet]) -> Facets:
     """Count all facets of `df` and filter it by what is selected.
 
     Elements of an array count once per row. A selected value that no row has is a bucket of its own with count 0, and
-    still filters. Values come in ascending order and null last, ranges in theirs, or all by falling count.
+    still filters. Values come in ascending order and null last, ranges in theirs, or all by falling count. Positions
+    are given by ranges of this order, so that the values of one facet need not fit one task. No facets have no buckets.
     """
+    if not facets:
+        return Facets(df, df.sparkSession.createDataFrame([], "facet string, position int, value string, low string, high string, n long, selected boolean"))
     kinds = {f.column: df.schema[f.column].dataType for f in facets}
     arrays = {c for c, k in kinds.items() if isinstance(k, T.ArrayType)}
     ranges = _resolve(df, facets)
@@ -170,11 +181,11 @@ def count_facets(df: DataFrame, facets: list[Facet]) -> Facets:
         F.desc(F.when(option(lambda f: f.sort_by_count, "boolean"), F.col("n")).otherwise(0)), F.asc(F.col("place") < 0), F.asc("place"),
         F.asc_nulls_last(number), F.asc_nulls_last("value"),
     ]
-    ranked = joined.withColumn("position", F.row_number().over(Window.partitionBy("facet").orderBy(*order)))
-    by_count = F.row_number().over(Window.partitionBy("facet").orderBy(F.desc("selected"), F.desc("n"), *order[1:]))
+    ranked = _placed(joined, order, "position")
     most = option(lambda f: f.max_values, "int")
     if any(f.max_values is not None for f in facets):
-        ranked = ranked.withColumn("__rank", by_count).where(F.col("selected") | most.isNull() | (F.col("__rank") <= most))
+        ranked = _placed(ranked, [F.desc("selected"), F.desc("n"), *order[1:]], "__rank")
+        ranked = ranked.where(F.col("selected") | most.isNull() | (F.col("__rank") <= most))
     kept = ranked.where(F.col("selected") | (F.col("n") >= option(lambda f: f.min_count, "long")))
     names = [x for f in facets for k, v in f.names.items() for x in (F.lit(f"{f.column}\0{k}"), F.lit(v))]
     shown = F.coalesce(F.create_map(*names)[F.concat_ws("\0", "facet", "value")], F.col("value")) if names else F.col("value")
@@ -182,6 +193,14 @@ def count_facets(df: DataFrame, facets: list[Facet]) -> Facets:
     return Facets(df.where(both(every)) if every else df, buckets)
 
 
+def _placed(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Number the rows of each facet from 1."""
+    all_rows = numbered(rows, [F.asc("facet"), *order], name)
+    first = all_rows.groupBy("facet").agg(F.min(name).alias("__first"))
+    # One row for each facet.
+    return all_rows.join(F.broadcast(first), "facet").withColumn(name, F.col(name) - F.col("__first") + 1).drop("__first")
+
+
 def _text(value: Any) -> str:
     return str(value).lower() if isinstance(value, bool) else str(value)
 

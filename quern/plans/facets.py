@@ -50,15 +50,27 @@ def facet_options(spark, sf_dir):
 
 
 @query("""WITH e AS (SELECT min(l_quantity) AS low, max(l_quantity) AS high FROM lineitem), b AS (SELECT CAST(floor(low / 5) AS BIGINT) * 5 + 5 * i AS start, low, high FROM e, range(0, 10) t(i))
-SELECT 'l_quantity' AS facet, count(*) AS n, CAST(row_number() OVER (ORDER BY start) AS INTEGER) AS position
-FROM b JOIN lineitem ON l_quantity >= greatest(start, low) AND (l_quantity < start + 5 OR start + 5 >= high AND l_quantity <= start + 5) GROUP BY start""")
+SELECT 'l_quantity' AS facet, CAST(greatest(start, low) AS DOUBLE) AS low, CAST(start + 5 AS DOUBLE) AS high, count(*) AS n, CAST(row_number() OVER (ORDER BY start) AS INTEGER) AS position
+FROM b JOIN lineitem ON l_quantity >= greatest(start, low) AND (l_quantity < start + 5 OR start + 5 >= high AND l_quantity <= start + 5) GROUP BY start, b.low""")
 def facet_auto_ranges(spark, sf_dir):
-    return count_facets(table(spark, sf_dir, "lineitem"), [Facet("l_quantity", power=1.0)]).buckets.select("facet", "n", "position")
+    found = count_facets(table(spark, sf_dir, "lineitem"), [Facet("l_quantity", power=1.0)]).buckets
+    return found.select("facet", F.col("low").cast("double").alias("low"), F.col("high").cast("double").alias("high"), "n", "position")
 
 
-@query("""WITH d AS (SELECT EXTRACT(year FROM o_orderdate) AS y FROM orders) SELECT count(*) AS n FROM d GROUP BY y""")
+@query("""WITH d AS (SELECT date_trunc('year', o_orderdate) AS y, count(*) AS n, min(min(o_orderdate)) OVER () AS first FROM orders GROUP BY 1)
+SELECT strftime(greatest(y, first), '%Y-%m-%d %H:%M:%S') AS low, strftime(y + INTERVAL 1 YEAR, '%Y-%m-%d %H:%M:%S') AS high, n FROM d""")
 def facet_date_ranges(spark, sf_dir):
-    return count_facets(table(spark, sf_dir, "orders"), [Facet("o_orderdate")]).buckets.select("n")
+    found = count_facets(table(spark, sf_dir, "orders"), [Facet("o_orderdate")]).buckets
+    return found.select(F.substring("low", 1, 19).alias("low"), F.substring("high", 1, 19).alias("high"), "n")
+
+
+@query("""WITH a AS (SELECT date_diff('day', TIMESTAMP '1990-01-01', o_orderdate) AS days FROM orders), k AS (SELECT days // 365 AS k, count(*) AS n FROM a GROUP BY 1)
+SELECT greatest(k * 365, (SELECT min(days) FROM a)) AS low, k * 365 + 365 AS high, n FROM k""")
+def facet_durations(spark, sf_dir):
+    days = F.make_dt_interval(F.datediff("o_orderdate", F.lit("1990-01-01").cast("date")))
+    found = count_facets(table(spark, sf_dir, "orders").select(days.alias("age")), [Facet("age", power=1.0)]).buckets
+    number = lambda c: F.regexp_extract(c, "^(\\d+) day", 1).cast("long").alias(c)
+    return found.select(number("low"), number("high"), "n")
 
 
 @query("SELECT CAST(min(o_totalprice) AS VARCHAR) AS low, CAST(max(o_totalprice) AS VARCHAR) AS high, count(*) AS n FROM orders")
@@ -66,10 +78,10 @@ def facet_single_range(spark, sf_dir):
     return count_facets(table(spark, sf_dir, "orders"), [Facet("o_totalprice", kind="single_range")]).buckets.select("low", "high", "n")
 
 
-@query("""WITH w AS (SELECT doc_id, unnest(list_distinct(string_split(substr(text, 1, 200), ' '))) AS value FROM documents)
+@query("""WITH w AS (SELECT doc_id, unnest(list_distinct(string_split(text, ' '))) AS value FROM documents)
 SELECT 'words' AS facet, value, count(*) AS n FROM w WHERE value IN ('the', 'and', 'de', 'und') GROUP BY value""")
 def facet_arrays(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.split(F.substring("text", 1, 200), " ").alias("words"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.split("text", " ").alias("words"))
     found = count_facets(docs, [Facet("words", values=["the", "and", "de", "und"])]).buckets
     return found.where("n > 0").select("facet", "value", "n")
 

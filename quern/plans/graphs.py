@@ -9,18 +9,17 @@ from quern.operators import graph
 from quern.plans.base import query
 from quern.sources.files import table
 
-#: Edges of the part and supplier graph: the first supplies of some parts, keys made distinct.
-_EDGES = "e AS (SELECT DISTINCT l_partkey AS src, l_suppkey + 10000000 AS dst FROM lineitem WHERE l_orderkey % 41 = 0)"
+#: Edges of the graph of parts and orders: all lines, keys made distinct.
+_EDGES = "e AS (SELECT DISTINCT l_partkey AS src, l_orderkey + 10000000 AS dst FROM lineitem)"
 _BOTH = f"{_EDGES}, b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)"
 
 
 def _edges(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").where("l_orderkey % 41 = 0")
-    return lines.select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + 10000000).alias("dst")).distinct()
+    return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), (F.col("l_orderkey") + 10000000).alias("dst")).distinct()
 
 
 def _seed(spark, sf_dir):
-    return _edges(spark, sf_dir).agg(F.min("src").alias("id"))
+    return table(spark, sf_dir, "lineitem").agg(F.min("l_partkey").alias("id"))
 
 
 @query(f"""WITH RECURSIVE {_BOTH}, r(id, level) AS (SELECT min(src), 0 FROM e UNION SELECT b.dst, r.level + 1 FROM r JOIN b ON b.src = r.id WHERE r.level < 3)

@@ -71,11 +71,11 @@ def i_combine(spark, sf_dir):
     return _naive(days.select("start", "rows", "n", "total", "mean", "low", "high"))
 
 
-@query("""WITH s AS (SELECT date_trunc('hour', ts) AS start, count(*) AS rows FROM events WHERE user_id = 1 GROUP BY 1),
-e AS (SELECT unnest(generate_series((SELECT min(start) FROM s), (SELECT max(start) FROM s), INTERVAL 1 HOUR)) AS start)
+@query("""WITH s AS (SELECT date_trunc('minute', ts) AS start, count(*) AS rows FROM events GROUP BY 1),
+e AS (SELECT unnest(generate_series((SELECT min(start) FROM s), (SELECT max(start) FROM s), INTERVAL 1 MINUTE)) AS start)
 SELECT e.start, s.rows, s.rows IS NOT NULL AS has_value FROM e LEFT JOIN s ON s.start = e.start""")
 def i_fill_blanks(spark, sf_dir):
-    return _naive(intervals.fill_blanks(intervals.statistics(_events(spark, sf_dir).where("user_id = 1"), "hour"), "hour"))
+    return _naive(intervals.fill_blanks(intervals.statistics(_events(spark, sf_dir), "minute"), "minute"))
 
 
 @query("""SELECT date_trunc('hour', ts) AS start, count(*) AS rows FROM events WHERE ts < TIMESTAMP '2024-01-15 10:00' GROUP BY 1
@@ -95,7 +95,8 @@ def _run(spark, sf_dir, make):
     """The finished table of a stream over the events' file. Each batch writes the whole table anew, so that intervals the
     watermark has not passed at the end are in it too."""
     like = _events(spark, sf_dir)
-    stream = spark.readStream.schema(like.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    # A pattern: a path without one has to be a folder, and events may be a file or a folder of files.
+    stream = spark.readStream.schema(like.schema).parquet(f"{sf_dir}/events.parque[t]")
     path = f"{shared_folder(spark)}/quern/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     made, last = make(stream), []
 

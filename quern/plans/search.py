@@ -50,27 +50,26 @@ def text_search_and(spark, sf_dir):
 
 @query(f"WITH {_POSTINGS} SELECT doc_id AS id, round(sum(score), 6) AS score FROM s WHERE term IN ('idiot', 'pour') GROUP BY doc_id ORDER BY sum(score) DESC, doc_id LIMIT 30")
 def text_search_or_top(spark, sf_dir):
-    hits = _index(spark, sf_dir).hits("idiot the pour", any_term=True, stop_words=STOP)
-    return _shown(hits.orderBy(F.desc("score"), "id").limit(30))
+    return _shown(_index(spark, sf_dir).hits("idiot the pour", any_term=True, stop_words=STOP, top=30))
 
 
-@query(f"""WITH {_POSTINGS}, x AS (SELECT term FROM v WHERE starts_with(term, 'lice') ORDER BY term LIMIT 100)
+@query(f"""WITH {_POSTINGS}, x AS (SELECT term FROM v WHERE starts_with(term, 'lice'))
 SELECT doc_id AS id, round(sum(score), 6) AS score FROM s WHERE term IN (SELECT term FROM x) GROUP BY doc_id""")
 def text_search_prefix(spark, sf_dir):
     return _shown(_index(spark, sf_dir).hits("lice*"))
 
 
-@query(f"""WITH {_POSTINGS}, i AS (SELECT term FROM v WHERE contains(term, 'icens') ORDER BY term LIMIT 100),
+@query(f"""WITH {_POSTINGS}, i AS (SELECT term FROM v WHERE contains(term, 'icens')),
 x AS (SELECT 'icens' AS term, 1 AS k UNION ALL SELECT term, row_number() OVER (ORDER BY term) + 1 FROM i WHERE term <> 'icens')
-SELECT doc_id AS id, round(sum(score / k), 6) AS score FROM s JOIN x ON x.term = s.term WHERE k <= 100 GROUP BY doc_id""")
+SELECT doc_id AS id, round(sum(score / k), 6) AS score FROM s JOIN x ON x.term = s.term GROUP BY doc_id""")
 def text_search_infix(spark, sf_dir):
     return _shown(_index(spark, sf_dir).hits("*icens"))
 
 
 @query(f"""WITH {_POSTINGS}, n AS (SELECT term, levenshtein(term, 'licensa') AS d FROM v), a AS (SELECT count(*) AS c FROM n WHERE d = 1),
-c AS (SELECT term FROM n, a WHERE d BETWEEN 1 AND CASE WHEN c > 2 THEN 1 ELSE 2 END ORDER BY term LIMIT 100),
+c AS (SELECT term FROM n, a WHERE d BETWEEN 1 AND CASE WHEN c > 2 THEN 1 ELSE 2 END),
 x AS (SELECT 'licensa' AS term, 1 AS k UNION ALL SELECT term, row_number() OVER (ORDER BY term) + 1 FROM c)
-SELECT doc_id AS id, round(sum(score / k), 6) AS score FROM s JOIN x ON x.term = s.term WHERE k <= 100 GROUP BY doc_id""")
+SELECT doc_id AS id, round(sum(score / k), 6) AS score FROM s JOIN x ON x.term = s.term GROUP BY doc_id""")
 def text_search_fuzzy(spark, sf_dir):
     return _shown(_index(spark, sf_dir).hits("licensa~"))
 
@@ -87,12 +86,12 @@ def text_suggest(spark, sf_dir):
     return _index(spark, sf_dir).suggest("Licence")
 
 
-@query("""SELECT doc_id, position('apache' IN lower(text)) > 0 AS found, CASE WHEN position('apache' IN lower(text)) > 0
-THEN substr(text, position('apache' IN lower(text)), 6) END AS hit FROM documents""")
+@query("""WITH p AS (SELECT doc_id, text, length(text) AS n, position('apache' IN lower(text)) AS here FROM documents),
+q AS (SELECT *, greatest(least(here + 3 - 40, n - 79), 1) AS a FROM p), r AS (SELECT *, greatest(least(a + 80, n + 1), here + 6) AS b FROM q)
+SELECT doc_id, CASE WHEN here > 0 THEN CASE WHEN a > 1 THEN '...' ELSE '' END || substr(text, a, here - a) || '[' || substr(text, here, 6) || ']' || substr(text, here + 6, b - here - 6) || CASE WHEN b <= n THEN '...' ELSE '' END
+ELSE substr(text, 1, 80) || CASE WHEN n > 80 THEN '...' ELSE '' END END AS part FROM r""")
 def text_snippet(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", text.snippet(F.col("text"), ["apache"], 80).alias("part"))
-    hit = F.regexp_extract("part", r"\[([^\[\]]{6})\]", 1)
-    return docs.select("doc_id", (F.lower(hit) == "apache").alias("found"), F.when(F.lower(hit) == "apache", hit).alias("hit"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.snippet(F.col("text"), ["apache"], 80).alias("part"))
 
 
 _QUERY_VECTOR = "(SELECT embedding FROM embeddings WHERE vec_id = 3)"
@@ -120,7 +119,7 @@ def vector_clustered(spark, sf_dir):
 
 
 @query(f"""WITH {_POSTINGS}, a AS (SELECT doc_id AS id, row_number() OVER (ORDER BY sum(score) DESC, doc_id) AS r FROM s WHERE term = 'that' AND doc_id IN (SELECT vec_id FROM embeddings)
-  GROUP BY doc_id ORDER BY sum(score) DESC, doc_id LIMIT 1000),
+  GROUP BY doc_id),
 b AS (SELECT e.vec_id AS id, row_number() OVER (ORDER BY {_DOT} DESC, e.vec_id) AS r FROM embeddings e, {_QUERY_VECTOR} q WHERE {_DOT} >= 0.05 AND e.vec_id IN (SELECT doc_id FROM documents))
 SELECT id, round(sum(part), 6) AS score FROM (SELECT id, 0.6 / (r + 60) AS part FROM a UNION ALL SELECT id, 0.4 / (r + 60) FROM b) GROUP BY id""")
 def hybrid_search(spark, sf_dir):
@@ -128,11 +127,18 @@ def hybrid_search(spark, sf_dir):
     return _shown(search.hybrid(docs, _index(spark, sf_dir), "that", "embedding", _vector(spark, sf_dir), ratio=0.4, least=0.05, key="doc_id"))
 
 
-@query(r"""SELECT page_id, len(regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*["'']([^"'']*)["'']', 1)) AS links,
-len(regexp_extract_all(html, '(?i)<img\s[^>]*?src\s*=\s*["'']([^"'']*)["'']', 1)) AS images FROM pages""")
+@query(r"""SELECT page_id, array_to_string(regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*["'']([^"'']*)["'']', 1), ' ') AS links,
+array_to_string(regexp_extract_all(html, '(?i)<img\s[^>]*?src\s*=\s*["'']([^"'']*)["'']', 1), ' ') AS images FROM pages""")
 def html_links_images(spark, sf_dir):
+    html, flat = F.col("html"), lambda c, name: F.array_join(c, " ").alias(name)
+    return table(spark, sf_dir, "pages").select("page_id", flat(text.html_links(html), "links"), flat(text.html_images(html), "images"))
+
+
+@query(r"""SELECT page_id, array_to_string(list_sort(list_distinct(regexp_extract_all(html, '(?i)(?:href|src)\s*=\s*["'']([^"'']*)["'']', 1))), ' ') AS urls,
+regexp_replace(html, '(?i)((?:href|src)\s*=\s*["''])https://', '\1http://', 'g') AS rewritten FROM pages""")
+def html_urls_rewrite(spark, sf_dir):
     html = F.col("html")
-    return table(spark, sf_dir, "pages").select("page_id", F.size(text.html_links(html)).cast("long").alias("links"), F.size(text.html_images(html)).cast("long").alias("images"))
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(F.array_sort(text.html_urls(html)), " ").alias("urls"), text.html_rewrite(html, "https://", "http://").alias("rewritten"))
 
 
 @query(r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->', ' ', 'g'), '(?is)<script\b.*?</script\s*>', ' ', 'g'), '(?is)<style\b.*?</style\s*>', ' ', 'g') AS h FROM pages),

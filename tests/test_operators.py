@@ -66,7 +66,28 @@ def test_time_ranges():
     found = ranges.date_ranges(datetime(2020, 2, 3), datetime(2023, 11, 5), 4)
     assert [a.year for a, _ in found] == [2020, 2021, 2022, 2023] and all((a.month, a.day) == (1, 1) for a, _ in found[1:])
     assert len(ranges.date_ranges(datetime(2024, 1, 1, tzinfo=UTC), datetime(2024, 1, 31, tzinfo=UTC), 5)) <= 6
-    assert ranges.duration_ranges(timedelta(0), timedelta(hours=1), 6) == [(timedelta(minutes=10 * i), timedelta(minutes=10 * i + 10)) for i in range(6)]
+    assert ranges.duration_ranges(timedelta(0), timedelta(hours=1), 6, power=1) == [(timedelta(minutes=10 * i), timedelta(minutes=10 * i + 10)) for i in range(6)]
+
+
+def test_ranges_hold_what_they_must():
+    rng = random.Random(7)
+    for _ in range(300):
+        low, n = rng.choice([0, rng.uniform(0, 1e6), rng.uniform(-50, 50)]), rng.randint(1, 14)
+        high = low + 10 ** rng.uniform(-6, 6)
+        for power in (1.0, 1.8, 0.5):
+            found = ranges.number_ranges(low, high, n, power)
+            assert found[0][0] <= low and found[-1][1] >= high and all(a[1] == b[0] and a[0] < a[1] for a, b in zip(found, found[1:], strict=False))
+            assert len(found) <= (ranges.allowed(n) if power == 1 or low < 0 else n)
+    assert ranges.number_ranges(1, 10_000, 5, whole=True) == [(0, 500), (500, 2000), (2000, 4000), (4000, 7000), (7000, 10_000)]
+
+
+def test_years_and_durations_along_a_curve():
+    assert [a.year for a, _ in ranges.date_ranges(datetime(1963, 5, 1), datetime(2024, 1, 1), 6)] == [1960, 1970, 1980, 1990, 2000, 2010, 2020]
+    hours = timedelta(hours=1)
+    assert ranges.duration_ranges(0 * hours, 100 * hours, 4) == [(0 * hours, 9 * hours), (9 * hours, 30 * hours), (30 * hours, 60 * hours), (60 * hours, 108 * hours)]
+    bent = ranges.date_ranges(datetime(2000, 1, 1), datetime(2020, 1, 1), 4, 2.0)
+    widths = [b - a for a, b in bent]
+    assert bent[0][0] == datetime(2000, 1, 1) and bent[-1][1] >= datetime(2020, 1, 1) and widths == sorted(widths)
 
 
 def products(spark):
@@ -100,6 +121,14 @@ def test_facet_ranges_cover_all(spark):
     assert sum(r["n"] for r in found) == 100 and len(found) > 5
 
 
+def test_no_facets_and_distinct_values_at_the_bound(spark):
+    assert count_facets(products(spark), []).buckets.count() == 0
+    df = spark.range(1000).select((F.col("id") % 25).alias("few"), (F.col("id") % 26).alias("many"))
+    found = count_facets(df, [Facet("few"), Facet("many")]).buckets
+    assert found.where("facet = 'few' and value is not null").count() == 25 and found.where("facet = 'many' and low is not null").count() > 3
+    assert found.where("facet = 'many' and value is not null").count() == 0
+
+
 TREE = [("c1", "root"), ("c2", "root"), ("gc1", "c1"), ("gc2", "c1"), ("ggc1", "gc1")]
 
 
@@ -120,6 +149,17 @@ def test_traverse_tree(spark):
     assert {r["id"] for r in graph.circular(cycle).collect()} == {"root", "c1", "gc1", "ggc1"} and graph.circular(edges).count() == 0
 
 
+def test_circles_against_brute_force(spark):
+    rng = random.Random(3)
+    for size, count in ((12, 14), (25, 30)):
+        pairs = {(rng.randrange(size), rng.randrange(size)) for _ in range(count)}
+        reach = {a: {b for x, b in pairs if x == a} for a in range(size)}
+        for _ in range(size):
+            reach = {a: bs | {c for b in bs for c in reach[b]} for a, bs in reach.items()}
+        got = {r["id"] for r in graph.circular(spark.createDataFrame(sorted(pairs), "src int, dst int")).collect()}
+        assert got == {a for a in range(size) if a in reach[a]}
+
+
 def catalog(spark):
     c = Catalog(spark, [NodeType("thing", (Property("name", "string", unique=True),)), NodeType("brand", parents=("thing",)), NodeType("product", (Property("price", "integer", default=0, low=0),), ("thing",))], [Relation("makes", "brand", "product", "one_to_many"), Relation("friends", "brand", "brand", "many_many")])
     c.add_nodes("brand", spark.createDataFrame([(1, "Acme"), (2, "Other")], "id long, name string"))
@@ -226,6 +266,18 @@ def test_stream_results_are_written_tables(spark, name):
     assert found.inputFiles() and all("/quern/" in f for f in found.inputFiles())
 
 
+def test_streams_read_a_folder_of_files(spark, tmp_path):
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    for name in ("stream_tumbling", "stream_sessions"):
+        one_file, folder = (sorted(map(tuple, logs.__dict__[name](spark, d).collect())) for d in ("/root/testdata/sf0.001", str(tmp_path)))
+        assert folder == one_file and folder
+
+
+def test_unique_estimates_are_near(spark):
+    for r in logs.i_unique(spark, "/root/testdata/sf0.01").join(logs.i_unique_estimate(spark, "/root/testdata/sf0.01").withColumnRenamed("n", "about"), "start").collect():
+        assert abs(r["about"] - r["n"]) <= max(2, 0.03 * r["n"])
+
+
 def test_tokens_and_terms(spark):
     words = lambda t, **k: one(spark, text.tokens(F.lit(t), **k))
     assert words("Foo;bar it's a B-C near, NEAR", stop_words=["near"]) == ["foobar", "it's"]
@@ -242,6 +294,42 @@ def test_search_terms(spark):
     assert one(spark, text.snippet(F.lit("aaa Fox bbb"), ["fox"])) == "aaa [Fox] bbb"
 
 
+def test_stored_index_and_words_without_a_cap(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"word{i} and other{i % 7}") for i in range(400)], "id int, body string")
+    index = search.TextIndex.of(df, F.col("body"))
+    stored = index.write(str(tmp_path / "index"))
+    for query, any_term in (("word*", False), ("*ord1", False), ("word12~", False), ("*ord1*", False), ("other3 word3", False), ("word5 other5", True), ("wor12~*", False)):
+        a, b = (sorted((r["id"], round(r["score"], 9)) for r in x.hits(query, any_term).collect()) for x in (index, stored))
+        assert a == b, query
+    assert index.hits("word*").count() == 400 and index.hits("*ther").count() == 400 and index.hits("and", top=3).count() == 3
+    assert sorted(map(tuple, stored.suggest("other9").collect())) == sorted(map(tuple, index.suggest("other9").collect()))
+    found = search.ranked(df, index.hits("other3"), 5, "body", ["other3"])
+    rows = found.rows.collect()
+    assert found.capped and len(rows) == 5 and all("[other3]" in r["sample"] for r in rows) and not search.ranked(df, index.hits("word7")).capped
+
+
+def test_clusters_find_most_and_all(spark):
+    v = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    held = search.ClusteredVectors.of(v, "embedding", clusters=8)
+    part, whole = 0, 0
+    for q in v.orderBy("vec_id").limit(8).collect():
+        query = list(q["embedding"])
+        ids = lambda df: [r["id"] for r in df.collect()]
+        exact = ids(search.similar_vectors(v, "embedding", query, top=10, key="vec_id"))
+        assert ids(held.search(query, accuracy=1.0, top=10, key="vec_id")) == exact
+        part, whole = part + len(set(exact) & set(ids(held.search(query, accuracy=0.75, top=10, key="vec_id")))), whole + len(exact)
+    assert part / whole >= 0.9
+
+
+def test_repeated_ids_in_changes(spark):
+    nodes = spark.createDataFrame([(1, "a"), (2, "b")], "id int, name string")
+    rows = spark.createDataFrame([(2, "x"), (2, "y"), (3, "c"), (3, None), (3, "c")], "id int, name string")
+    assert sorted(map(tuple, mutations.upsert(nodes, rows).collect())) == [(1, "a"), (2, "y"), (3, "c")]
+    assert sorted(map(tuple, mutations.update_if_different(nodes, rows)[1].collect())) == [(2,)]
+    with pytest.raises(mutations.Conflict):
+        mutations.insert(nodes.limit(0), rows, or_fail=True)
+
+
 def test_mutations(spark):
     nodes = spark.createDataFrame([(1, "a"), (2, "b")], "id int, name string")
     rows = spark.createDataFrame([(2, "B"), (3, "c")], "id int, name string")
