@@ -118,7 +118,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, levels: int = LEVE
 
     Both frames have vec_id and embedding. Vectors that are null or hold null or non-finite components take no part;
     shorter vectors count as filled with zeros. A row is no candidate for a query of its own vec_id. Ties go to the
-    smaller vec_id; repeated rows count once each. No vectors or no queries give no rows.
+    smaller vec_id; repeated rows of vectors count once each, repeated queries once. No vectors or no queries give no
+    rows.
     """
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -129,7 +130,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, levels: int = LEVE
         least = right["least"].astype(float).fillna(-np.inf).to_numpy()
         return pd.DataFrame(search(points, left["vec_id"].to_numpy(), asked, right["query_id"].to_numpy(), least, k), columns=["query_id", "vec_id", "score"])
 
-    points, asked = usable(vectors), usable(queries).withColumnRenamed("vec_id", "query_id")
+    points, asked = usable(vectors), usable(queries).withColumnRenamed("vec_id", "query_id").distinct()
     shards = max(1, -(-points.count() // SHARD_ROWS))
     blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
     asked = asked.withColumn("home", dealt("query_id", shards, 1)).withColumn("block", dealt("query_id", blocks, 2))

@@ -14,8 +14,8 @@ from quern.llm.common import materialise, table
 
 #: Headers that a 304 response may carry for the stored response (RFC 9110, 15.4.5, and Last-Modified); fixed values.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
-#: Records of one URL that are ordered together; a URL with more is cut into slices of time.
-SLICE_ROWS = 10_000
+#: In how many ranges the records are dealt: as a tuple of one number, or, if it is empty, as many as shuffles have.
+SLICES: tuple[int, ...] = ()
 PATTERN = "^([A-Za-z][A-Za-z0-9+.-]*)://([^/?]*)([^?]*)[?]?(.*)$"
 
 
@@ -31,13 +31,15 @@ def canonical(url: Column) -> Column:
 
 
 def _latest_before(slim: DataFrame) -> DataFrame:
-    """Each revisit's latest earlier response as `found`, null where there is none: slim has canonical, at, record_id, kind, seen."""
-    spread = slim.groupBy("canonical").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("low"), F.max("at").alias("high")).where(F.col("n") > SLICE_ROWS)
-    slices = F.ceil(F.col("n") / SLICE_ROWS)
-    place = F.floor((F.col("at") - F.col("low")) * slices / (F.col("high") - F.col("low") + 1))
-    cut = slim.join(spread, "canonical", "left").withColumn("slice", F.coalesce(place, F.lit(0))).drop("n", "low", "high")
+    """Each revisit's latest earlier response as `found`, null where there is none: slim has canonical, at, record_id, kind, seen.
+
+    Records are dealt by ranges of (canonical, at, record_id), so a URL of many records is cut by rank wherever its times
+    are, and a cut falls between two records of one time too. The ranges are written with the records: they come from a
+    sample and would not be the same twice."""
+    cut = slim.distinct().repartitionByRange(*(SLICES or ()), "canonical", "at", "record_id").withColumn("slice", F.spark_partition_id())
+    cut = materialise(cut)
     full = F.when(F.col("kind") == "response", F.col("seen"))
-    earlier = Window.partitionBy("canonical", "slice").orderBy("at", "record_id").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("canonical", "slice").orderBy("at", "record_id", "kind", "seen").rowsBetween(Window.unboundedPreceding, -1)
     inside = cut.withColumn("found", F.last(full, ignorenulls=True).over(earlier)).where("kind = 'revisit'")
     # What the slices before leave behind: a row for each slice.
     ends = cut.groupBy("canonical", "slice").agg(F.max(F.when(F.col("kind") == "response", F.struct("at", "record_id", "seen"))).alias("end"))
@@ -59,7 +61,9 @@ def resolve(records: DataFrame) -> DataFrame:
     - orphan: no earlier response, or no url.
 
     Of equal times the smaller record_id is the earlier. Records of another kind and repeated rows are kept as they
-    are: each revisit is resolved by itself. Null headers count as empty. Other columns are not returned.
+    are: each revisit is resolved by itself. A record is known by its id, URL, time and validators; of responses that
+    share all of these the one whose body's MD5, then the JSON of whose headers, comes first is the source. Null headers
+    count as empty. Other columns are not returned.
     """
     keyed = records.select(
         F.col("record_id").cast("long").alias("record_id"), canonical(F.col("url")).alias("canonical"), "captured_at",
@@ -67,23 +71,26 @@ def resolve(records: DataFrame) -> DataFrame:
         F.coalesce("headers", F.create_map().cast("map<string,string>")).alias("headers"), "body",
     )
     validators = ("etag", "last_modified", "digest")
-    slim = keyed.where(F.col("canonical").isNotNull()).select("canonical", "at", "record_id", "kind", F.struct("record_id", *validators).alias("seen"))
-    found = _latest_before(slim).select("record_id", F.col("found.record_id").alias("source_id"), "seen", "found").dropDuplicates(["record_id", "seen"])
-    found = materialise(found)
+    # Null-safe as one text: every part of it is there, nulls with a mark of their own.
+    seen = F.struct("record_id", "at", *validators).alias("seen")
+    name = F.xxhash64(F.to_json(F.struct("record_id", "at", "canonical", *validators), {"ignoreNullFields": "false"}))
+    slim = keyed.where(F.col("canonical").isNotNull()).select("canonical", "at", "record_id", "kind", seen, name.alias("name"))
+    slim = slim.withColumn("seen", F.col("seen").withField("name", F.col("name")))
+    found = materialise(_latest_before(slim).select("name", F.col("found.record_id").alias("source_id"), F.col("found.name").alias("source"), "seen", "found").dropDuplicates(["name"]))
     agree = lambda v: F.col(f"seen.{v}") == F.col(f"found.{v}")
     none_differs = ~F.greatest(*(F.coalesce(~agree(v), F.lit(False)) for v in validators))
     one_agrees = F.greatest(*(F.coalesce(agree(v), F.lit(False)) for v in validators))
     found = found.select(
-        "record_id", "seen", "source_id",
+        "name", "source", "source_id",
         F.when(F.col("found").isNull(), "orphan").when(one_agrees & none_differs, "resolved").otherwise("mismatch").alias("outcome"),
     )
-    revisits = keyed.where("kind = 'revisit'").withColumn("seen", F.struct("record_id", *validators)).drop("body")
-    revisits = revisits.join(found.withColumnRenamed("record_id", "__id"), (F.col("record_id") == F.col("__id")) & revisits["seen"].eqNullSafe(found["seen"]), "left")
-    revisits = revisits.select("record_id", "canonical", "captured_at", F.coalesce("outcome", F.lit("orphan")).alias("outcome"), "source_id", "headers")
-    stored = keyed.where("kind = 'response'").select(F.col("record_id").alias("source_id"), F.col("headers").alias("stored"), "body").dropDuplicates(["source_id"])
+    revisits = keyed.where("kind = 'revisit'").withColumn("name", name).drop("body").join(found, "name", "left")
+    revisits = revisits.select("record_id", "canonical", "captured_at", F.coalesce("outcome", F.lit("orphan")).alias("outcome"), "source", "source_id", "headers")
+    one = F.row_number().over(Window.partitionBy("source").orderBy(F.md5("body"), F.to_json("stored")))
+    stored = keyed.where("kind = 'response'").select(name.alias("source"), F.col("headers").alias("stored"), "body").withColumn("nth", one).where("nth = 1").drop("nth")
     fresh = F.map_filter("headers", lambda k, v: k.isin(*PERMITTED))
     old = F.map_filter("stored", lambda k, v: ~F.array_contains(F.map_keys(fresh), k))
-    resolved = revisits.where("outcome = 'resolved'").join(stored, "source_id").withColumn("headers", F.map_concat(old, fresh))
+    resolved = revisits.where("outcome = 'resolved'").join(stored, "source").withColumn("headers", F.map_concat(old, fresh))
     columns = ["record_id", "canonical", "captured_at", "outcome", "source_id", "headers", "body"]
     others = revisits.where("outcome <> 'resolved'").withColumn("body", F.lit(None).cast("string"))
     kept = keyed.where(~F.col("kind").eqNullSafe("revisit")).withColumn("outcome", F.coalesce("kind", F.lit("unknown"))).withColumn("source_id", F.lit(None).cast("long"))

@@ -114,6 +114,43 @@ def test_quality(docs, clashing):
     assert empty.score(["", None, LINE]) == pytest.approx([0.5] * 3, abs=0.05) and quality.score(docs, empty) is not None
 
 
+def test_quality_held_out(spark):
+    rows = quality.op5_factorisation_machine(spark, "/root/testdata/sf0.01").where("held_out").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").collect()
+    good, poor = ([r for r in rows if r["quality"] == q] for q in (1, 0))
+    assert len(good) > 20 and len(poor) > 3
+    assert np.mean([a["score"] > b["score"] for a in good for b in poor]) > 0.95
+    assert np.mean([r["predicted"] == 1 for r in good]) > 0.9 and np.mean([r["predicted"] == 0 for r in poor]) > 0.7
+
+
+def test_calibration():
+    rng = np.random.default_rng(6)
+    margins = rng.normal(size=4000) * 2
+    labels = (rng.random(4000) < 1 / (1 + np.exp(-(3 * margins - 1)))).astype(float)
+    assert quality.calibrate(margins, labels) == pytest.approx((3, -1), abs=0.3)
+    assert quality.calibrate(margins, np.ones(4000)) == (1.0, 0.0) and quality.calibrate(-margins, (margins > 0).astype(float)) == (1.0, 0.0)
+    slope, shift = quality.calibrate(np.array([1.0, 2.0, 3.0, 4.0]), np.array([0.0, 0.0, 1.0, 1.0]))
+    assert slope > 0 and 2 < -shift / slope < 3
+
+
+def test_language_held_out(spark):
+    rows = language.op4_language_bitmask(spark, "/root/testdata/sf0.01").where("held_out").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
+    assert len(rows) > 100 and np.mean([r["lang_pred"] == r["lang"] for r in rows]) > 0.98
+
+
+def test_jump_is_the_plain_loop():
+    def plain(key: int, buckets: int) -> int:
+        b, j = -1, 0
+        while j < buckets:
+            b = j
+            key = (key * 2862933555777941757 + 1) % 2**64
+            j = int((b + 1) * (2**31 / ((key >> 33) + 1)))
+        return b
+
+    keys = np.random.default_rng(2).integers(0, 2**64, 500, dtype=np.uint64)
+    for n in (1, 2, 16, 1000):
+        assert sharding.jump(keys.copy(), n).tolist() == [plain(int(k), n) for k in keys]
+
+
 def test_sum_of_squares_identity():
     rng = np.random.default_rng(3)
     m = quality.Machine(0.3, rng.normal(size=quality.INPUTS).astype(np.float32), rng.normal(size=(quality.INPUTS, quality.RANK)).astype(np.float32))
@@ -340,12 +377,28 @@ def test_warc(spark):
 def test_warc_slices_of_a_hot_url(spark, monkeypatch):
     rows = [(i, "http://a.com/", i, "response" if i % 5 == 0 else "revisit", str(i // 5), None, None, None, str(i), "") for i in range(400)]
     df = spark.createDataFrame(rows, RECORDS)
+    monkeypatch.setattr(warc, "SLICES", (1,))
     whole = sorted(map(str, warc.resolve(df).collect()))
-    monkeypatch.setattr(warc, "SLICE_ROWS", 7)
+    monkeypatch.setattr(warc, "SLICES", (23,))
     assert sorted(map(str, warc.resolve(df).collect())) == whole
     assert warc.resolve(df).where("outcome = 'resolved'").count() == 320
 
 
+@pytest.mark.parametrize("times", [lambda i: 7, lambda i: i if i < 200 else 5 * 10**9 + i])
+def test_warc_slices_of_equal_and_far_times(spark, monkeypatch, times):
+    monkeypatch.setattr(warc, "SLICES", (9,))
+    rows = [(i, "http://a.com/", times(i), "response" if i % 50 == 0 else "revisit", "e", None, None, None, str(i), "") for i in range(400)]
+    got = {r["record_id"]: (r["outcome"], r["source_id"]) for r in warc.resolve(spark.createDataFrame(rows, RECORDS)).collect()}
+    assert got == {i: ("response", None) if i % 50 == 0 else ("resolved", i // 50 * 50) for i in range(400)}
+
+
+def test_warc_records_that_share_an_id(spark):
+    body = "b" * 300_000
+    rows = [(1, "http://a.com/", 1, "response", "e", None, None, None, body, ""), (1, "http://b.com/", 1, "response", "f", None, None, None, "", ""), (2, "http://a.com/", 5, "revisit", "e", None, None, None, None, ""), (2, "http://b.com/", 9, "revisit", "e", None, None, None, None, "")]
+    got = {(r["canonical"], r["record_id"]): (r["outcome"], r["body"]) for r in warc.resolve(spark.createDataFrame(rows, RECORDS)).collect()}
+    assert got[("a.com/", 2)] == ("resolved", body) and got[("b.com/", 2)] == ("mismatch", None) and got[("b.com/", 1)] == ("response", "")
+
+
 def test_pipeline_rejects_unknown_languages(spark):
     rows = [(i, LINE, "en") for i in range(4)] + [(8, "ждщ фыв ъэюя жжщщ", None), (9, LINE, None)]
     kept = corpus_pipeline.keep_known_languages(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), "")
