@@ -410,3 +410,16 @@ def test_pipeline_stages_keep_the_columns(spark, docs):
         docs = stage(spark, docs, "/root/testdata/sf0.001")
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert docs.where("doc_id in (3, 4, 5)").count() == 0 and docs.where("doc_id in (6, 7)").count() == 1
+
+
+def test_pipeline_stages_take_edge_rows_and_none(spark, docs):
+    """Nulls, empty and long texts and repeated rows go through the last two stages; no rows go through all of them."""
+    data = "/root/testdata/sf0.001"
+    stages = dict(corpus_pipeline.STAGES)
+    mixed = stages["mixing"](spark, docs, data)
+    assert mixed.columns == docs.columns and mixed.count() >= 1
+    packed = stages["packing"](spark, docs, data).collect()
+    assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in docs.select("doc_id").distinct().collect()}
+    none = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, data).count() == 0
