@@ -89,7 +89,7 @@ def probes(places: np.ndarray, count: int) -> np.ndarray:
     return bucket(visited.reshape(-1, m)).reshape(n, -1)
 
 
-def nearest(q: np.ndarray, own: int, points: np.ndarray, ids: np.ndarray, rough: np.ndarray, floor: float, k: int) -> list[tuple[int, int, float]]:
+def nearest(q: np.ndarray, own: int, points: np.ndarray, ids: np.ndarray, rows: np.ndarray, rough: np.ndarray, floor: float, k: int) -> list[tuple[int, int, int, float]]:
     """The k best by exact inner product of the points that reach the floor; `rough` has it up to rounding."""
     at = np.flatnonzero((rough >= floor - 1e-9 * (1 + abs(floor)) if np.isfinite(floor) else rough > -np.inf) & (ids != own))
     if len(at) > k:
@@ -97,14 +97,16 @@ def nearest(q: np.ndarray, own: int, points: np.ndarray, ids: np.ndarray, rough:
         at = at[rough[at] >= kth - 1e-9 * (1 + abs(kth))]
     score = (points[at] * q).sum(axis=1)
     order = np.lexsort((ids[at], -score))[:k]
-    return [(own, int(ids[at[i]]), float(score[i])) for i in order]
+    return [(own, int(ids[at[i]]), int(rows[at[i]]), float(score[i])) for i in order]
 
 
-FOUND = "query_id long, vec_id long, score double"
-_NONE = {"query_id": "int64", "vec_id": "int64", "score": "float64"}
+FOUND = "query_id long, vec_id long, row long, score double"
+_NONE = {"query_id": "int64", "vec_id": "int64", "row": "int64", "score": "float64"}
+#: What a row found is told by: repeated rows, alike in both, are one here and counted beside.
+_ROW = ["query_id", "vec_id", "row"]
 
 
-def _frame(found: list[tuple[int, int, float]]) -> pd.DataFrame:
+def _frame(found: list[tuple[int, int, int, float]]) -> pd.DataFrame:
     return pd.DataFrame(found, columns=list(_NONE)).astype(_NONE)
 
 
@@ -113,11 +115,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, count: int = PROB
 
     Both frames have vec_id and embedding. Vectors that are null, empty, zero or hold null or non-finite components
     take no part; shorter vectors count as filled with zeros. A row is no candidate for a query of its own vec_id.
-    Ties go to the smaller vec_id; repeated rows count once. A query whose buckets hold fewer than k candidates is
-    compared with all vectors. No vectors or no queries give no rows.
+    Ties go to the smaller vec_id; repeated rows of vectors count once each, repeated queries once. A query whose
+    buckets hold fewer than k candidates is compared with all vectors. No vectors or no queries give no rows.
     """
-    points, asked = usable(vectors, zero=False), usable(queries, zero=False).withColumnRenamed("vec_id", "query_id")
-    length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
+    points = usable(vectors, zero=False).withColumn("row", F.xxhash64("embedding"))
+    asked = usable(queries, zero=False).withColumnRenamed("vec_id", "query_id").distinct()
+    kind = points.schema["embedding"].dataType.simpleString()
+    length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     known = points.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("width"), F.max(length).alias("longest")).first()
     more = asked.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("width")).first()
     width = max(known["width"] or 1, more["width"] or 1)
@@ -130,7 +134,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, count: int = PROB
                 v = matrix(batch["embedding"], width)
                 for t, place in enumerate(hashes.at(v, query=False)):
                     b = bucket(np.floor(place))
-                    yield pd.DataFrame({"tab": t, "part": b % parts, "bucket": b, "vec_id": batch["vec_id"], "embedding": batch["embedding"]})
+                    yield pd.DataFrame({"tab": t, "part": b % parts, "bucket": b, "vec_id": batch["vec_id"], "row": batch["row"], "place": np.arange(len(batch)), "embedding": batch["embedding"]})
 
     def visits(tables: range):
         def visit(batches):
@@ -152,9 +156,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, count: int = PROB
         if not len(left) or not len(right):
             return _frame([])
         left = left.sort_values("bucket", kind="stable")
-        ids, members = left["vec_id"].to_numpy(), matrix(left["embedding"], width)
+        ids, marks, members = left["vec_id"].to_numpy(), left["row"].to_numpy(), matrix(left["embedding"], width)
         names, inverse = np.unique(left["bucket"].to_numpy(), return_inverse=True)
-        found: list[tuple[int, int, float]] = []
+        found: list[tuple[int, int, int, float]] = []
         for start in range(0, len(right), CHUNK):
             some = right.iloc[start : start + CHUNK]
             hit = np.zeros((len(some), len(names)), dtype=bool)
@@ -164,48 +168,56 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, count: int = PROB
             # The buckets that any of these queries visits are scored in one product; each query sees its own.
             rows = np.flatnonzero(hit.any(axis=0)[inverse])
             if len(rows):
-                asks, held, of = matrix(some["embedding"], width), members[rows], ids[rows]
+                asks, held, of, marked = matrix(some["embedding"], width), members[rows], ids[rows], marks[rows]
                 rough = np.where(hit[:, inverse[rows]], asks @ held.T, -np.inf)
                 for own, q, floor, scores in zip(some["query_id"], asks, some["least"], rough, strict=True):
-                    found += nearest(q, own, held, of, scores, floor, k)
+                    found += nearest(q, own, held, of, marked, scores, floor, k)
         return _frame(found)
 
     def scan(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return _frame([])
-        ids, members = left["vec_id"].to_numpy(), matrix(left["embedding"], width)
+        ids, marks, members = left["vec_id"].to_numpy(), left["row"].to_numpy(), matrix(left["embedding"], width)
         asks = matrix(right["embedding"], width)
-        return _frame([x for own, q in zip(right["query_id"], asks, strict=True) for x in nearest(q, own, members, ids, members @ q, -np.inf, k)])
+        return _frame([x for own, q in zip(right["query_id"], asks, strict=True) for x in nearest(q, own, members, ids, marks, members @ q, -np.inf, k)])
 
-    table_of = materialise(points.mapInPandas(index, "tab int, part long, bucket long, vec_id long, embedding array<double>"))
+    table_of = materialise(points.mapInPandas(index, f"tab int, part long, bucket long, vec_id long, row long, place long, embedding {kind}"))
     sizes = table_of.groupBy("tab", "part").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("int").alias("salts"))
     keys = ["tab", "part", "salt"]
 
     def meet(asks: DataFrame, tables: range) -> DataFrame:
         """The k best of each query in the given tables, of those that reach its floor `least`."""
         mine = table_of.where(F.col("tab").between(tables[0], tables[-1])).join(sizes, ["tab", "part"])
-        mine = mine.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.col("salts")).cast("int")).drop("salts")
-        asks = asks.select("query_id", "least", "embedding").mapInPandas(visits(tables), "tab int, part long, buckets array<long>, query_id long, least double, embedding array<double>")
+        mine = mine.withColumn("salt", F.pmod(F.xxhash64("vec_id", "place"), F.col("salts")).cast("int")).drop("salts", "place")
+        given = asks.schema["embedding"].dataType.simpleString()
+        asks = asks.select("query_id", "least", "embedding").mapInPandas(visits(tables), f"tab int, part long, buckets array<long>, query_id long, least double, embedding {given}")
         asks = asks.join(sizes, ["tab", "part"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
         found = mine.groupBy(*keys).cogroup(asks.groupBy(*keys)).applyInPandas(rank, FOUND)
-        return materialise(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")))
+        return materialise(found.groupBy(*_ROW).agg(F.max("score").alias("score")))
+
+    repeated = materialise(points.groupBy("vec_id", "row").agg(F.count(F.lit(1)).alias("times")).where("times > 1"))
+
+    def each(found: DataFrame) -> DataFrame:
+        """Every repeated row as often as it is there; the k best take k of it at most."""
+        times = F.sequence(F.lit(1), F.least(F.coalesce(F.col("times"), F.lit(1)), F.lit(k)).cast("int"))
+        return found.join(repeated, ["vec_id", "row"], "left").withColumn("time", F.explode(times)).select("query_id", "vec_id", "score")
 
     found = meet(asked.withColumn("least", F.lit(float("-inf"))), range(1))
     # The kth score of the first table is the floor of the others.
-    kth = best(found, k, "score").groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("least"))
+    kth = best(each(found), k, "score").groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("least"))
     floors = asked.join(kth, "query_id", "left").fillna(float("-inf"), ["least"])
-    found = found.unionByName(meet(floors, range(1, TABLES))).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    enough = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
+    found = found.unionByName(meet(floors, range(1, TABLES))).groupBy(*_ROW).agg(F.max("score").alias("score"))
+    enough = each(found).groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
     short = asked.join(enough, "query_id", "left_anti")
     lacking = short.count()
     if lacking:
         slices = max(1, -(-known["n"] // PART_ROWS))
         groups = max(1, -(-lacking // PART_ROWS))
-        left = points.withColumn("slice", dealt("vec_id", slices, 4)).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+        left = points.distinct().withColumn("slice", dealt("vec_id", slices, 4)).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
         right = short.withColumn("group", dealt("query_id", groups, 5)).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
         extra = left.groupBy("slice", "group").cogroup(right.groupBy("slice", "group")).applyInPandas(scan, FOUND)
-        found = found.unionByName(extra).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    return best(found, k, "score").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        found = found.unionByName(extra).groupBy(*_ROW).agg(F.max("score").alias("score"))
+    return best(each(found), k, "score").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op10_multiprobe_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,8 +11,10 @@ SHARD_ROWS, BLOCK_QUERIES = 4096, 1024
 
 
 def usable(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", zero: bool = True) -> DataFrame:
-    """(key, vector) of the rows whose vector is not null or empty and holds finite numbers only; `zero`: and may be 0."""
-    v = F.col(vector).cast("array<double>")
+    """(key, vector) of the rows whose vector is not null or empty and holds finite numbers only; `zero`: and may be 0.
+    Floats stay floats, which are half as wide and make the same doubles later; other numbers become doubles."""
+    kind = vectors.schema[vector].dataType.simpleString()
+    v = F.col(vector) if kind == "array<float>" else F.col(vector).cast("array<double>")
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     rows = vectors.select(F.col(key).cast("long").alias(key), v.alias(vector)).where(F.col(key).isNotNull() & (F.size(vector) > 0) & F.forall(vector, finite))
     return rows if zero else rows.where(F.exists(vector, lambda x: x != 0))

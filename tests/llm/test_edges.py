@@ -331,6 +331,16 @@ def test_lsh(spark):
     assert lsh.search(df.limit(0), df).count() == 0 and lsh.search(df, df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_lsh_repeated_rows_and_one_id_with_two_vectors(spark, kind):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (7, [0.5, 0.5]), (8, [0.25, 0.0])] + [(9, [0.75, 0.0])] * 3 + [(8, [0.0, 1.0]), (11, [])]
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")
+    asks = df.where("vec_id = 0")
+    got = lambda k: [(r["rank"], r["vec_id"], r["score"]) for r in lsh.search(df, asks, k=k).orderBy("rank").collect()]
+    assert got(20) == [(1, 9, 0.75), (2, 9, 0.75), (3, 9, 0.75), (4, 7, 0.5), (5, 8, 0.25), (6, 8, 0.0)]
+    assert got(2) == [(1, 9, 0.75), (2, 9, 0.75)]
+
+
 def test_lsh_probes_come_in_order():
     places = np.random.default_rng(2).normal(size=(50, 6)) * 3
     steps = lsh.sequence(6, 60)
