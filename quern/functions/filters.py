@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quern.functions import logic
@@ -45,12 +46,33 @@ def page_bounds(page: int | None, size: int | None, most: int = 1000) -> tuple[i
     return max(page or 0, 0), min(max(size if size is not None else 100, 1), most)
 
 
-def listing(df: DataFrame, filter: dict[str, Any] | None = None, ids: list | None = None, order_by: str | None = None, descending: bool = False, page: int | None = None, page_size: int | None = None, key: str = "id") -> DataFrame:
-    """A page of `df` as a list query asks for it."""
+@dataclass(frozen=True)
+class Listing:
+    """A page of rows. The rows of all pages are counted on the way, while those of the page are read."""
+
+    rows: DataFrame
+    page: int
+    page_size: int
+    seen: Observation
+
+    def total(self) -> int:
+        """How many rows all pages have; known after the first action on `rows`."""
+        return int(self.seen.get.get("total", 0))
+
+
+def listing(df: DataFrame, filter: dict[str, Any] | None = None, ids: list | None = None, order_by: str | None = None, descending: bool = False, page: int | None = None, page_size: int | None = None, key: str = "id", hits: DataFrame | None = None) -> Listing:
+    """A page of `df` as a list query asks for it. `hits` (id, score) are what a search found: others go, and without another
+    order the best come first."""
     if ids is not None:
         df = df.where(logic.one_of(F.col(key), ids))
     if filter:
         df = df.where(predicate(filter))
-    index, size = page_bounds(page, page_size)
     order = [F.desc(order_by) if descending else F.asc(order_by)] if order_by else []
-    return df.orderBy(*order, F.asc(key)).offset(index * size).limit(size)
+    columns = df.columns
+    if hits is not None:
+        df = df.join(hits.select(F.col("id").alias(key), F.col("score").alias("__score")), key)
+        order = order or [F.desc("__score")]
+    index, size = page_bounds(page, page_size)
+    seen = Observation()
+    rows = df.observe(seen, F.count(F.lit(1)).alias("total")).orderBy(*order, F.asc(key)).offset(index * size).limit(size)
+    return Listing(rows.select(*columns), index, size, seen)

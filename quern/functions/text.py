@@ -55,10 +55,16 @@ def terms(query: str, stop_words: Iterable[str] = (), infix: bool = True, min_wo
     return found
 
 
-def snippet(text: Column, words: list[str], length: int = 255, start: str = "[", end: str = "]", dots: str = "...") -> Column:
-    """A part of the text around the first of `words` that it has, the match between `start` and `end`."""
+def snippet(text: Column, words: list[str], length: int = 255, start: str = "[", end: str = "]", dots: str = "...", edits: int = 0) -> Column:
+    """A part of the text around the first of `words` that it has, the match between `start` and `end`. If it has none of
+    them, the match is its first word that is at most `edits` edits from the first of `words` for which there is one."""
     size = F.length(text)
     at, width = F.lit(0), F.lit(0)
+    for word in reversed(words if edits else []):
+        near = F.filter(F.regexp_extract_all(text, F.lit(r"([\p{L}\p{Nd}']+)"), 1), lambda w: F.levenshtein(F.lower(w), F.lit(word.lower()), edits) >= 0)
+        match = F.get(near, 0)
+        here = F.regexp_instr(text, F.concat(F.lit(r"(?<![\p{L}\p{Nd}'])"), match, F.lit(r"(?![\p{L}\p{Nd}'])")))
+        at, width = F.when(here > 0, here).otherwise(at), F.when(here > 0, F.length(match)).otherwise(width)
     for word in reversed(words):
         here = F.locate(word.lower(), F.lower(text))
         at, width = F.when(here > 0, here).otherwise(at), F.when(here > 0, F.lit(len(word))).otherwise(width)

@@ -183,6 +183,11 @@ class NodeQuery:
             raise LookupError("no row" if not found else "more than one row")
         return found[0]
 
+    def count_intersection(self, other: NodeQuery) -> DataFrame:
+        """One row (count): how many nodes are in both queries, of whose nodes only the ids are read."""
+        ids = lambda q: q.rows().select(F.col(q.key).alias("id"))
+        return ids(self).distinct().join(ids(other), "id", "left_semi").agg(F.count(F.lit(1)).alias("count"))
+
     def exists(self) -> bool:
         return not self.visible().isEmpty()
 

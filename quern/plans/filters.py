@@ -100,7 +100,7 @@ def f_range_overlap(spark, sf_dir):
 ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 20""")
 def f_filter_dictionary(spark, sf_dir):
     spec = {"or": [{"o_orderstatus": {"eq": "O"}}, {"o_totalprice": {"gte": 200000}}], "not": {"o_orderpriority": {"in": ["1-URGENT", "2-HIGH"]}}, "o_custkey": {"nin": []}}
-    return filters.listing(table(spark, sf_dir, "orders"), spec, order_by="o_totalprice", descending=True, page=1, page_size=20, key="o_orderkey").select("o_orderkey")
+    return filters.listing(table(spark, sf_dir, "orders"), spec, order_by="o_totalprice", descending=True, page=1, page_size=20, key="o_orderkey").rows.select("o_orderkey")
 
 
 @query("""WITH v AS (SELECT doc_id, lang, source, doc_id % 7 = 0 AS deleted, doc_id % 11 = 0 AS hidden,
@@ -184,6 +184,12 @@ def x_set_operations(spark, sf_dir):
     return by("F").intersect(by("O")).subtract(by("P"))
 
 
+@query("""SELECT count(*) AS count FROM (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O')""")
+def x_count_intersection(spark, sf_dir):
+    orders = nodes(spark, sf_dir, "orders", "o_custkey")
+    return orders.where(logic.eq(F.col("o_orderstatus"), "F")).count_intersection(orders.where(logic.eq(F.col("o_orderstatus"), "O")))
+
+
 @query("""WITH a AS (SELECT DISTINCT o_custkey AS id FROM orders WHERE o_totalprice > 200000), b AS (SELECT DISTINCT o_custkey AS id FROM orders WHERE o_orderstatus = 'P')
 (SELECT id FROM a EXCEPT SELECT id FROM b) UNION ALL (SELECT id FROM b EXCEPT SELECT id FROM a)""")
 def x_symmetric_difference(spark, sf_dir):

@@ -8,6 +8,7 @@ from quern.functions import geo
 from quern.operators import graph
 from quern.plans.base import query
 from quern.sources.files import table
+from quern.sources.shared import written
 
 #: Edges of the graph of parts and orders: all lines, keys made distinct.
 _EDGES = "e AS (SELECT DISTINCT l_partkey AS src, l_orderkey + 10000000 AS dst FROM lineitem)"
@@ -66,6 +67,14 @@ def geo_is_within(spark, sf_dir):
     return _places(spark, sf_dir).where(geo.is_within(F.col("lat"), F.col("lon"), 59.9, 10.7, 1_500_000)).select("id")
 
 
+@query(f"WITH p AS ({_PLACE}) SELECT id FROM p WHERE {_DISTANCE} <= 1500000")
+def geo_covered(spark, sf_dir):
+    lat, lon = F.col("lat"), F.col("lon")
+    coded = _places(spark, sf_dir).withColumn("code", geo.zcode(lat, lon))
+    stored = written(coded.repartitionByRange("code").sortWithinPartitions("code"))
+    return stored.where(geo.is_within(lat, lon, 59.9, 10.7, 1_500_000, F.col("code"))).select("id")
+
+
 @query(f"WITH p AS ({_PLACE}) SELECT id, round({_DISTANCE}, 3) AS metres FROM p ORDER BY {_DISTANCE}, id LIMIT 20")
 def geo_nearest(spark, sf_dir):
     metres = geo.distance(F.col("lat"), F.col("lon"), 59.9, 10.7)

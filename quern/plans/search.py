@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.functions import text
+from quern.functions import filters, text
 from quern.operators import search
 from quern.operators.search import TextIndex
 from quern.plans.base import query
@@ -94,6 +94,24 @@ def text_snippet(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.snippet(F.col("text"), ["apache"], 80).alias("part"))
 
 
+@query(r"""WITH p AS (SELECT doc_id, text, length(text) AS n, regexp_extract_all(text, '[\p{L}\p{Nd}'']+|[^\p{L}\p{Nd}'']+') AS parts FROM documents),
+f AS (SELECT *, list_position(list_transform(parts, lambda w: levenshtein(lower(w), 'licenza') <= 2), true) AS i FROM p),
+h AS (SELECT *, CASE WHEN i > 0 THEN 1 + coalesce(list_sum(list_transform(parts[1:i - 1], lambda w: length(w))), 0) ELSE 0 END::BIGINT AS here, CASE WHEN i > 0 THEN length(parts[i]) ELSE 0 END AS w FROM f),
+q AS (SELECT *, greatest(least(here + w // 2 - 40, n - 79), 1) AS a FROM h), r AS (SELECT *, greatest(least(a + 80, n + 1), here + w) AS b FROM q)
+SELECT doc_id, CASE WHEN here > 0 THEN CASE WHEN a > 1 THEN '...' ELSE '' END || substr(text, a, here - a) || '[' || substr(text, here, w) || ']' || substr(text, here + w, b - here - w) || CASE WHEN b <= n THEN '...' ELSE '' END
+ELSE substr(text, 1, 80) || CASE WHEN n > 80 THEN '...' ELSE '' END END AS part FROM r""")
+def text_snippet_near(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.snippet(F.col("text"), ["licenza"], 80, edits=2).alias("part"))
+
+
+@query(f"""WITH {_POSTINGS}, h AS (SELECT doc_id, sum(score) AS score FROM s WHERE term IN ('apache', 'version') GROUP BY doc_id HAVING count(*) = 2)
+SELECT doc_id, lang FROM documents JOIN h USING (doc_id) WHERE lang = 'en' ORDER BY round(score, 9) DESC, doc_id LIMIT 4 OFFSET 4""")
+def text_listing(spark, sf_dir):
+    hits = _index(spark, sf_dir).hits("Apache version").withColumn("score", F.round("score", 9))
+    docs = table(spark, sf_dir, "documents")
+    return filters.listing(docs, {"lang": {"eq": "en"}}, page=1, page_size=4, key="doc_id", hits=hits).rows.select("doc_id", "lang")
+
+
 _QUERY_VECTOR = "(SELECT embedding FROM embeddings WHERE vec_id = 3)"
 _DOT = "list_sum(list_transform(range(1, 65), lambda i: CAST(e.embedding[i] AS DOUBLE) * CAST(q.embedding[i] AS DOUBLE)))"
 

@@ -15,6 +15,7 @@ from quern.operators.query import NodeQuery
 from quern.operators.relations import Include, include, include_references
 from quern.plans import logs
 from quern.sources.catalog import Catalog, NodeType, Property, Relation
+from quern.sources.shared import written
 
 
 def one(spark, column):
@@ -53,6 +54,17 @@ def test_filter_dictionary(spark):
     assert filters.page_bounds(-3, 10**6) == (0, 1000)
 
 
+def test_listing_counts_what_all_pages_have(spark):
+    df = spark.createDataFrame([(i, i % 3, "mine") for i in range(30)], "id int, part int, score string")
+    found = filters.listing(df, {"part": {"eq": 1}}, order_by="id", descending=True, page=1, page_size=4)
+    assert [r["id"] for r in found.rows.collect()] == [16, 13, 10, 7] and found.total() == 10
+    hits = spark.createDataFrame([(4, 1.0), (7, 2.0), (10, 2.0), (99, 9.0)], "id int, score double")
+    found = filters.listing(df, ids=[4, 7, 10, 11], page_size=2, hits=hits)
+    assert [tuple(r) for r in found.rows.collect()] == [(7, 1, "mine"), (10, 1, "mine")] and found.total() == 3
+    none = filters.listing(df, {"part": {"eq": 9}})
+    assert none.rows.count() == 0 and none.total() == 0
+
+
 def test_number_ranges():
     assert ranges.number_ranges(50, 60, 10, power=1, whole=True) == [(i, i + 1) for i in range(50, 60)]
     assert ranges.number_ranges(3, 3) == [(3, 3)]
@@ -212,6 +224,8 @@ def test_geo_against_brute_force(spark):
     rng = random.Random(1234)
     points = [(i, rng.uniform(-90, 90), rng.uniform(-180, 180)) for i in range(2000)] + [(2000, None, None)]
     df = spark.createDataFrame(points, "id int, lat double, lon double")
+    with_code = lambda rows: written(rows.withColumn("code", geo.zcode(F.col("lat"), F.col("lon"))))
+    coded = with_code(df)
 
     def metres(a, b, c, d):
         a, b, c, d = map(math.radians, (a, b, c, d))
@@ -221,6 +235,15 @@ def test_geo_against_brute_force(spark):
     for lat, lon, far in ((59.9, 10.7, 2e6), (-10, 179.5, 3e6), (89, 0, 2e6), (0, -179, 1.2e7), (5, 5, -1)):
         got = {r["id"] for r in df.where(geo.is_within(F.col("lat"), F.col("lon"), lat, lon, far)).collect()}
         assert got == {i for i, a, b in points if a is not None and metres(a, b, lat, lon) <= far}
+        ranges = geo.cover(lat, lon, far)
+        assert len(ranges) <= 64 and all(a <= b for a, b in ranges) and all(x[1] < y[0] - 1 for x, y in zip(ranges, ranges[1:], strict=False))
+        code = F.col("code")
+        assert {r["id"] for r in coded.where(geo.is_within(F.col("lat"), F.col("lon"), lat, lon, far, code)).collect()} == got
+        if far == 2e6 and lat == 59.9:
+            assert coded.where(geo.is_covered(code, lat, lon, far)).count() < 300
+    edge = with_code(spark.createDataFrame([(1, 0.0, 180.0), (2, 0.0, -180.0), (3, 90.0, 12.0), (4, 0.0, 1e-9)], "id int, lat double, lon double"))
+    near = lambda lat, lon, m: [r["id"] for r in edge.where(geo.is_within(F.col("lat"), F.col("lon"), lat, lon, m, F.col("code"))).orderBy("id").collect()]
+    assert near(0, 179.999, 500) == [1, 2] and near(90, 0, 1) == [3] and near(0, 0, 1) == [4]
     assert df.where("id = 2000").select(geo.distance(F.col("lat"), F.col("lon"), 0, 0).alias("d")).first()["d"] == math.inf
     assert df.where("id < 2000").select(F.max(geo.zcode(F.col("lat"), F.col("lon"))).alias("z")).first()["z"] < 2**62
 
@@ -292,6 +315,9 @@ def test_search_terms(spark):
     assert ids("red fox") == [1] and ids("red fox", any_term=True) == [1, 2] and ids("fox*") == [1, 3] and ids("*oxe") == [3]
     assert ids("foxs~") == [1, 3] and ids("re red") == [1, 2] and ids("zzz") == [] and ids("") == []
     assert one(spark, text.snippet(F.lit("aaa Fox bbb"), ["fox"])) == "aaa [Fox] bbb"
+    near = lambda t, words, **k: one(spark, text.snippet(F.lit(t), words, **k))
+    assert near("foxes, a Fax (bbb)", ["fox"], edits=1) == "[fox]es, a Fax (bbb)" and near("prefax, Fax!", ["fox"], edits=1) == "prefax, [Fax]!"
+    assert near("a cat", ["fox", "bat"], edits=1) == "a [cat]" and near("a cat", ["fox"], edits=1) == "a cat" and near("", ["fox"], edits=1) == ""
 
 
 def test_stored_index_and_words_without_a_cap(spark, tmp_path):
