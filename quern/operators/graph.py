@@ -69,7 +69,7 @@ def shortest_path(edges: DataFrame, start: Any, end: Any, most: int = 1000, dire
         return None
     if start == end:
         return [start]
-    found = _levels(spark.createDataFrame([(start,)], f"id {kind}"), known, most, budget, end)
+    found = _levels(spark.range(0, 1, 1, 1).select(F.lit(start).cast(kind).alias("id")), known, most, budget, end)
     steps = found.where(F.col("id") == F.lit(end)).select("level", "parent").first()
     if steps is None:
         return None

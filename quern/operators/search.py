@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.text import MAX_COUNT, MIN_WORD, Term, snippet, terms, tokens
-from quern.sources.shared import numbered, written
+from quern.sources.shared import literal_rows, numbered, written
 
 #: Fixed values of BM25 and of reciprocal rank fusion.
 K1, B, RRF = 1.2, 0.75, 60
@@ -103,8 +103,7 @@ class TextIndex:
         postings, texts, mean = self.find(lambda w: reduce(lambda a, b: a | b, [_stands_for(term, w) for term in asked]))
         words = _frequencies(postings)
         if all(not (t.prefix or t.infix or t.fuzzy) for t in asked):
-            given = [(k, t.word) for k, t in enumerate(asked)]
-            named = postings.sparkSession.createDataFrame(given, "t int, term string").withColumn("variation", F.lit(1))
+            named = literal_rows(postings.sparkSession, ["t", "term", "variation"], [(k, t.word, 1) for k, t in enumerate(asked)])
             variations = F.broadcast(words.join(named, "term"))  # the words of the query
         else:
             words = written(words)
@@ -164,7 +163,7 @@ def _beginnings(w: Column) -> Column:
 def _variations(words: DataFrame, term: Term) -> DataFrame:
     """(term, variation): the words a term stands for. The word itself is variation 1; then come words that contain it and
     misspellings of it, each in order and numbered on. With a prefix, all words that begin with a variation have its number."""
-    own = words.sparkSession.createDataFrame([(term.word, 0)], "term string, place int")
+    own = literal_rows(words.sparkSession, ["term", "place"], [(term.word, 0)])
     found = [own]
     if term.infix:
         found.append(words.where(F.col("term").contains(term.word) & (F.col("term") != term.word)).select("term", F.lit(1).alias("place")))

@@ -16,7 +16,8 @@ _BOTH = f"{_EDGES}, b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)"
 
 
 def _edges(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), (F.col("l_orderkey") + 10000000).alias("dst")).distinct()
+    """Written once: nodes, both directions and further searches are made of it."""
+    return written(table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), (F.col("l_orderkey") + 10000000).alias("dst")).distinct())
 
 
 def _seed(spark, sf_dir):
@@ -39,7 +40,7 @@ def g_traverse_tree(spark, sf_dir):
     down = nation.select(F.col("n_regionkey").cast("long").alias("src"), (F.col("n_nationkey") + 100).cast("long").alias("dst"))
     down = down.unionByName(customer.select((F.col("c_nationkey") + 100).cast("long").alias("src"), (F.col("c_custkey") + 1000).alias("dst")))
     nodes = down.select(F.col("dst").alias("id"))
-    return graph.traverse(nodes, spark.createDataFrame([(1,)], "id long"), down, 1, 5)
+    return graph.traverse(nodes, spark.range(1, 2), down, 1, 5)
 
 
 @query(f"""WITH RECURSIVE {_BOTH}, r(id, level) AS (SELECT min(src), 0 FROM e UNION SELECT b.dst, r.level + 1 FROM r JOIN b ON b.src = r.id WHERE r.level < 6),

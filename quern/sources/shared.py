@@ -29,6 +29,12 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def literal_rows(spark: SparkSession, names: list[str], rows: list[tuple]) -> DataFrame:
+    """A frame of a few given rows, made in the plan itself: no Python worker is started for them."""
+    made = (F.struct(*(F.lit(v).alias(n) for n, v in zip(names, row, strict=True))) for row in rows)
+    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*made)))
+
+
 def numbered(df: DataFrame, order: list[Column | str], name: str) -> DataFrame:
     """Number the rows from 1 in this order, in column `name`. Rows are dealt by ranges of the order and numbered in each;
     only the sizes of the ranges, one row each, come together."""
