@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import materialise, table
+from quern.llm.common import materialise, release, table
 from quern.llm.text import mix
 from quern.llm.vectors import best, dealt, matrix, usable
 
@@ -207,6 +207,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, count: int = PROB
     kth = best(each(found), k, "score").groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("least"))
     floors = asked.join(kth, "query_id", "left").fillna(float("-inf"), ["least"])
     found = found.unionByName(meet(floors, range(1, TABLES))).groupBy(*_ROW).agg(F.max("score").alias("score"))
+    release(points.sparkSession, table_of)
     enough = each(found).groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
     short = asked.join(enough, "query_id", "left_anti")
     lacking = short.count()

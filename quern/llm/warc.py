@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import materialise, table
+from quern.llm.common import materialise, release, table
 
 #: Headers that a 304 response may carry for the stored response (RFC 9110, 15.4.5, and Last-Modified); fixed values.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
@@ -76,7 +76,9 @@ def resolve(records: DataFrame) -> DataFrame:
     name = F.xxhash64(F.to_json(F.struct("record_id", "at", "canonical", *validators), {"ignoreNullFields": "false"}))
     slim = keyed.where(F.col("canonical").isNotNull()).select("canonical", "at", "record_id", "kind", seen, name.alias("name"))
     slim = slim.withColumn("seen", F.col("seen").withField("name", F.col("name")))
-    found = materialise(_latest_before(slim).select("name", F.col("found.record_id").alias("source_id"), F.col("found.name").alias("source"), "seen", "found").dropDuplicates(["name"]))
+    latest = _latest_before(slim)
+    found = materialise(latest.select("name", F.col("found.record_id").alias("source_id"), F.col("found.name").alias("source"), "seen", "found").dropDuplicates(["name"]))
+    release(records.sparkSession, latest)
     agree = lambda v: F.col(f"seen.{v}") == F.col(f"found.{v}")
     none_differs = ~F.greatest(*(F.coalesce(~agree(v), F.lit(False)) for v in validators))
     one_agrees = F.greatest(*(F.coalesce(agree(v), F.lit(False)) for v in validators))

@@ -331,6 +331,13 @@ def test_lsh(spark):
     assert lsh.search(df.limit(0), df).count() == 0 and lsh.search(df, df.limit(0)).count() == 0
 
 
+def test_empty_vectors_take_no_part(spark):
+    df = spark.createDataFrame([(0, []), (20, []), (100, [1.0, 2.0]), (3, []), (4, [2.0, 1.0]), (5, [1.0])], VECTORS)
+    asked = df.where("vec_id % 20 = 0")
+    for found in (lsh.search(df, asked), ball_tree.top_k(df, asked)):
+        assert [(r["query_id"], r["rank"], r["vec_id"]) for r in found.orderBy("rank").collect()] == [(100, 1, 4), (100, 2, 5)]
+
+
 @pytest.mark.parametrize("kind", ["float", "double"])
 def test_lsh_repeated_rows_and_one_id_with_two_vectors(spark, kind):
     rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (7, [0.5, 0.5]), (8, [0.25, 0.0])] + [(9, [0.75, 0.0])] * 3 + [(8, [0.0, 1.0]), (11, [])]
@@ -384,6 +391,16 @@ def test_warc(spark):
     assert warc.resolve(df.limit(0)).count() == 0
 
 
+def test_warc_empty_and_very_long_bodies(spark):
+    long = "été " * 100_000
+    rows = [(1, "http://a.com/e", 1, "response", "e", None, None, {}, "", None), (2, "http://a.com/e", 2, "revisit", "e", None, None, None, None, None)]
+    rows += [(3, "http://a.com/l", 1, "response", "l", None, None, {}, long, None), (4, "http://a.com/l", 2, "revisit", "l", None, None, None, None, None)]
+    rows += [(5, "http://a.com/n", 1, "response", "n", None, None, {}, None, None), (6, "http://a.com/n", 2, "revisit", "n", None, None, None, None, None)]
+    by = {r["record_id"]: r for r in warc.resolve(spark.createDataFrame(rows, RECORDS)).collect()}
+    assert [by[k]["outcome"] for k in (2, 4, 6)] == ["resolved"] * 3
+    assert [by[k]["body"] for k in (2, 4, 6)] == ["", long, None]
+
+
 def test_warc_slices_of_a_hot_url(spark, monkeypatch):
     rows = [(i, "http://a.com/", i, "response" if i % 5 == 0 else "revisit", str(i // 5), None, None, None, str(i), "") for i in range(400)]
     df = spark.createDataFrame(rows, RECORDS)
