@@ -24,6 +24,8 @@ UNKNOWN = "und"
 POSITIONS, HASHES, SLICE = 1 << 20, 3, 64
 #: A language contains an n-gram that it shows so often, and at this part of the highest rate of any language.
 LEAST_COUNT, SHARE = 3, 0.3
+#: Bytes of texts that are held as strings while n-grams are counted.
+SLICE_CHARS = 2_000_000
 
 
 def trigrams(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -79,17 +81,13 @@ class LanguageFilter:
         return [self.languages[b] if n else UNKNOWN for b, n in zip(best, total, strict=True)], score
 
 
-def learn(labelled: DataFrame, text: str = "text", lang: str = "lang") -> LanguageFilter:
-    """Learn a filter from texts with their languages; rows where either is null teach nothing.
-
-    N-grams are counted over all rows; what reaches the driver is a row for each language and one for each position
-    of the filter, whatever the number of rows. Languages are in alphabetical order, and ties go to the first.
-    """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-        for batch in batches:
-            names, texts = np.array(batch["lang"].to_pylist(), dtype=object), batch["text"].to_pylist()
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each language has each n-gram, in texts (lang, text) without nulls."""
+    held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    for batch in batches:
+        langs = np.array(batch["lang"].to_pylist(), dtype=object)
+        for start, end, texts in slices(batch["text"], len(langs), SLICE_CHARS):
+            names = langs[start:end]
             for name in set(names):
                 for parts, _, _ in blocks([texts[i] for i in np.flatnonzero(names == name)]):
                     grams, n = np.unique(trigrams([fold(p) for p in parts])[0], return_counts=True)
@@ -99,19 +97,28 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Langua
                         n = np.bincount(inverse, weights=np.concatenate([m, n])).astype(np.int64)
                     held[name] = (grams, n)
                     if len(grams) > 1_000_000:
-                        yield rows(name, *held.pop(name))
-        for name, (grams, n) in held.items():
-            yield rows(name, grams, n)
+                        yield _counted(name, *held.pop(name))
+    for name, (grams, n) in held.items():
+        yield _counted(name, grams, n)
+
 
-    def rows(name: str, grams: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([name] * len(grams), pa.string()), pa.array(grams.view(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
+def _counted(name: str, grams: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([name] * len(grams), pa.string()), pa.array(grams.view(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
+
+
+def learn(labelled: DataFrame, text: str = "text", lang: str = "lang") -> LanguageFilter:
+    """Learn a filter from texts with their languages; rows where either is null teach nothing.
+
+    N-grams are counted over all rows; what reaches the driver is a row for each language and one for each position
+    of the filter, whatever the number of rows. Languages are in alphabetical order, and ties go to the first.
+    """
 
     @F.pandas_udf("array<int>")
     def places(grams: pd.Series) -> pd.Series:
         return pd.Series(list(positions(grams.to_numpy(dtype=np.int64).view(np.uint64)).astype(np.int32)))
 
     seen = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).dropna()
-    grams = materialise(seen.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    grams = materialise(seen.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     sizes = {r["lang"]: r["n"] for r in grams.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     languages = sorted(sizes)
     if not languages:

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.common import BUCKET_ROWS, gapless, materialise, table
+from quern.llm.text import give_back
 from quern.llm.tokens import default_tokenizer, encoder
 
 CAPACITY = 4096
@@ -48,6 +49,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
                 [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)],
                 ["doc_id", "piece", "start", "length", "ids_crc32"],
             )
+            give_back()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES)
 

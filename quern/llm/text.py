@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
@@ -66,10 +67,24 @@ def batches(sizes: Sequence[int], rows: int = 1000, chars: int = 200_000) -> Ite
         yield start, len(sizes)
 
 
-def slices(texts: pa.Array) -> Iterator[tuple[int, int, list[str | None]]]:
-    """`batches` of an array of texts, of which only one slice at a time is held as Python strings."""
-    for start, end in batches(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+def slices(texts: pa.Array, rows: int = 1000, chars: int = 200_000) -> Iterator[tuple[int, int, list[str | None]]]:
+    """`batches` of an array of texts, of which only one slice at a time is held as Python strings; then memory is given back."""
+    for start, end in batches(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), rows, chars):
         yield start, end, texts[start:end].to_pylist()
+    give_back()
+
+
+@lru_cache
+def _trim():
+    """The C library's malloc_trim, if it has one."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda pad: 0)
+
+
+def give_back() -> None:
+    """Give free memory back to the system. A Python worker lives on from stage to stage; else it keeps what the largest
+    batch of each took, beside what the next one needs."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
 
 
 @lru_cache
