@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.common import BUCKET_ROWS, gapless, materialise, table
-from quern.llm.text import give_back
-from quern.llm.tokens import default_tokenizer, encoder
+from quern.llm.text import give_back, slices
+from quern.llm.tokens import BLOCK, default_tokenizer, encoder
 
 CAPACITY = 4096
 END_ID = 1
@@ -40,11 +40,13 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
         encode, end, step = encoder(path), np.array([END_ID], dtype="<u4").tobytes(), 4 * capacity
         for batch in batches:
             rows = []
-            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
-                ids = encode(text.as_py()) + end
-                for k, at in enumerate(range(0, len(ids), step)):
-                    part = ids[at : at + step]
-                    rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
+            docs = batch["doc_id"].to_pylist()
+            for first, last, texts in slices(batch["text"], len(docs), BLOCK):
+                for doc, ids in zip(docs[first:last], encode.many(texts), strict=True):
+                    ids += end
+                    for k, at in enumerate(range(0, len(ids), step)):
+                        part = ids[at : at + step]
+                        rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)],
                 ["doc_id", "piece", "start", "length", "ids_crc32"],

@@ -24,11 +24,12 @@ def fold(text: str) -> str:
     return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
-def blocks(texts: Sequence[str | None], cut: re.Pattern = _SPACE) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
-    """Parts of the texts, some BLOCK characters in all; the row and the offset of each. Nulls count as empty.
+def blocks(texts: Sequence[str | None], cut: re.Pattern = _SPACE, size: int | None = None) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+    """Parts of the texts, some `size` characters in all (by default BLOCK); the row and the offset of each. Nulls count as empty.
 
-    A text longer than BLOCK is parted where `cut` matches.
+    A text longer than that is parted where `cut` matches.
     """
+    size = size or BLOCK
     parts: list[str] = []
     rows: list[int] = []
     offsets: list[int] = []
@@ -36,12 +37,12 @@ def blocks(texts: Sequence[str | None], cut: re.Pattern = _SPACE) -> Iterator[tu
     for row, text in enumerate(texts):
         text, start = text or "", 0
         while True:
-            end = start + BLOCK
+            end = start + size
             if end < len(text):
                 found = cut.search(text, end)
                 end = found.end() if found else len(text)
             part = text[start:end]
-            if parts and held + len(part) > BLOCK:
+            if parts and held + len(part) > size:
                 yield parts, np.array(rows), np.array(offsets)
                 parts, rows, offsets, held = [], [], [], 0
             parts.append(part)

@@ -90,6 +90,51 @@ def test_token_ids_are_the_tokenizers(docs):
         assert np.frombuffer(fast(text), dtype="<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
+def test_words_are_encoded_once(monkeypatch):
+    from tokenizers import Tokenizer
+
+    from quern.llm import tokens
+
+    class Counted:
+        def __init__(self, held):
+            self.held, self.words = held, []
+
+        def encode_batch_fast(self, texts, **options):
+            self.words += [w for t in texts for w in t.split(" ")]
+            return self.held.encode_batch_fast(texts, **options)
+
+    plain, fast = Tokenizer.from_file(default_tokenizer()), tokens.WordEncoder(default_tokenizer())
+    words: list[str] = []
+    for name in {"tokenizer", "folded"} & set(vars(fast)):
+        counted = Counted(getattr(fast, name))
+        counted.words = words
+        setattr(fast, name, counted)
+    # Case and any marks after a word make no new word.
+    text = " ".join(w + m for w in ("house", "House", "HOUSE", "größe", "Größe", "дом", "Дом") for m in ("", ".", "***", ".%%%", ",", "!?", ")"))
+    assert np.frombuffer(fast(text), dtype="<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert sorted(words) == sorted(["house", "größe", "дом", ".", "***", ".%%%", ",", "!?", ")"])
+    # Words met again and again stay held when the cache is full.
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 100)
+    for n in range(400):
+        fast("often met " + "".join(chr(97 + int(d)) for d in str(n)))
+    assert words.count("often") == words.count("met") == 1 and len(fast.cache) < 200
+
+
+def test_token_ids_of_many_texts_and_letters():
+    from tokenizers import Tokenizer
+
+    from quern.llm import tokens
+
+    plain, fast = Tokenizer.from_file(default_tokenizer()), tokens.WordEncoder(default_tokenizer())
+    letters = [f"{c}a{c}{m} a{c}" for c in map(chr, (*range(1, 0x590), *range(0x1E00, 0x2100))) for m in ("", "*'", "\u0308.", "(_")]
+    texts = [None, "", *letters, "a <|endoftext|>. b<|endoftext|>", *("A̧ͅ", "T̈ ẗ", "İ", "x\u00a0y"), "", " \n "]
+    assert [np.frombuffer(x, dtype="<u4").tolist() for x in fast.many(texts)] == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert fast.many([]) == []
+    # A text of more than a block, among others.
+    long = "Some words, in a row. " * (tokens.BLOCK // 22 + 5)
+    assert [len(x) for x in fast.many(["one", long, "two"])] == [4, 4 * 7 * (tokens.BLOCK // 22 + 5), 4]
+
+
 def test_language(docs, clashing):
     model = language.learn(docs)
     assert model.languages == ["de", "en", "fr"]
